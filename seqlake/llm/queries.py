@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import crc32_mod, spread, table
+from seqlake.llm.language_id import identify
 from seqlake.llm.token_counts import count_tokens
 
 
@@ -15,8 +16,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    held_out = crc32_mod("doc_id", 4) == 2
+    found = identify(docs, train=~held_out, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op5_language_id": op5_language_id,
 }
 
 SQL: dict[str, str] = {}
