@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import crc32_mod, spread, table
+from seqlake.llm.gif import digest_media, store_texts
 from seqlake.llm.language_id import identify
 from seqlake.llm.token_counts import count_tokens
 
@@ -23,9 +24,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_media(store_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_language_id": op5_language_id,
+    "op8_gif_media": op8_gif_media,
 }
 
 SQL: dict[str, str] = {}
