@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlake.llm import toxicity
 from seqlake.llm.common import crc32_mod, spread, table
 from seqlake.llm.gif import digest_media, store_texts
 from seqlake.llm.language_id import identify
@@ -28,10 +29,18 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_media(store_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spread(table(spark, sf_dir, name)) for name in ("documents", "labels"))
+    held_out = crc32_mod("doc_id", 5) == 0
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, learn=~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_language_id": op5_language_id,
     "op8_gif_media": op8_gif_media,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
