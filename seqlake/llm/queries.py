@@ -10,6 +10,7 @@ from seqlake.llm import toxicity
 from seqlake.llm.common import crc32_mod, spread, table
 from seqlake.llm.gif import digest_media, store_texts
 from seqlake.llm.language_id import identify
+from seqlake.llm.ngram_join import similar_components
 from seqlake.llm.token_counts import count_tokens
 
 
@@ -29,6 +30,10 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_media(store_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), words=3, percent=90)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spread(table(spark, sf_dir, name)) for name in ("documents", "labels"))
     held_out = crc32_mod("doc_id", 5) == 0
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_language_id": op5_language_id,
     "op8_gif_media": op8_gif_media,
+    "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
 
