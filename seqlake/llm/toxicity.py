@@ -121,14 +121,14 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 
 def place_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``places``: the distinct hashed words of each whole text."""
+    """``places``: the distinct hashed words of each whole text, as little-endian unsigned 32-bit numbers."""
     key = uuid.uuid4().hex
 
     def per_batch(batch: pa.RecordBatch) -> dict:
         places = kept(key, Places)
-        return {"places": [places.of(x) for x in texts(batch, text)]}
+        return {"places": [places.of(x).astype("<u4").tobytes() for x in texts(batch, text)]}
 
-    return map_rows(docs.select(text), per_batch, "places array<long>")
+    return map_rows(docs.select(text), per_batch, "places binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     pick = lambda df, most, of: [r[0] for r in place_rows(df.where(key < min(1.0, most / max(of, 1))), text).collect()]
     chosen_p = pick(found, positives, n_found) if n_found else []
     chosen_u = pick(rows, unlabelled, count) if count else []
-    as_rows = lambda found: sorted((np.asarray(x, np.int64) for x in found), key=lambda x: x.tobytes())
+    as_rows = lambda found: [np.frombuffer(x, "<u4").astype(np.int64) for x in sorted(map(bytes, found))]
     return train(as_rows(chosen_p), as_rows(chosen_u), toxic / n if n else 0.0)
 
 
