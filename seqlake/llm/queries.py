@@ -11,6 +11,7 @@ from seqlake.llm.common import crc32_mod, spread, table
 from seqlake.llm.gif import digest_media, store_texts
 from seqlake.llm.language_id import identify
 from seqlake.llm.ngram_join import similar_components
+from seqlake.llm.suffix_array import remove_duplicates
 from seqlake.llm.token_counts import count_tokens
 
 
@@ -26,6 +27,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_media(store_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
@@ -44,6 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_language_id": op5_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_gif_media": op8_gif_media,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
