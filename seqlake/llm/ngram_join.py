@@ -1,11 +1,12 @@
 """Similarity join of documents on the Jaccard similarity of their word n-grams.
 
 Texts with equal n-gram sets form a class; classes are joined. Two sets as similar as asked must share a token among the
-first ``n - ceil(s n) + 1`` of each under any total order of all tokens. The first order puts the corpus's rare tokens first
-(by a fixed-size count sketch over all documents) and brings classes together in Spark; within the groups that it forms,
-a pair must also share prefix tokens under two other orders, and only pairs that pass all three filters are verified. Groups
-are cut into blocks that meet pairwise, so that no task holds more than two blocks, and a pair whose classes are connected
-already isn't verified again.
+first ``p(n) = n - ceil(s n) + 1`` of each under any total order of all tokens, and ``e + 1`` tokens if ``e`` more of each
+are looked at. The first order puts the corpus's rare tokens first (by a fixed-size count sketch over all documents): its
+prefixes, a third longer, meet by token, and only classes that share enough tokens with classes of fitting size go on,
+grouped by what they share. Within a group a pair must also share prefix tokens under two other orders, and only pairs that
+pass all three filters are verified. Large groups are cut into blocks that meet pairwise, so that no task holds more than two
+blocks, and a pair whose classes are connected already isn't verified again.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from seqlake.llm.graph import components
 
 #: Counters of the sketch, n-grams of a block, words that a worker keeps, and rows up to which a table is broadcast.
 COUNTERS, BLOCK, CACHED, SMALL = 1 << 18, 1_000_000, 400_000, 200_000
+#: Rows of a meeting partition, and parts of a token that the sketch counts among the heaviest.
+MEETING, SALTS = 2_000_000, 64
 #: Odd multipliers (fixed values of a common 64-bit hash).
 MULTIPLIERS = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -65,6 +68,16 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
+def extra_size(n: int, percent: int) -> int:
+    """Tokens that are looked at beyond the prefix; never fewer for a larger set."""
+    return prefix_size(n, percent) // 3
+
+
+def needed(n: int, percent: int) -> int:
+    """Shared tokens that a set of ``n`` must have with a similar one, which may be as small as ``percent`` of it."""
+    return extra_size(-(-n * percent // 100), percent) + 1
+
+
 def rare_first(shingles: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The n-grams ordered by the sketch's count, ties by hash."""
     return shingles[np.argsort(sketch[shingles % np.uint64(len(sketch))], kind="stable")]
@@ -99,6 +112,29 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def runs_of(token: np.ndarray, salt: np.ndarray, d1: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, d1, size): sets that share a token, cut where one is too small for the next larger one.
+
+    A run is named by its token and its place among the token's runs, so it holds every pair of fitting size. Runs of
+    one set are left out. The parts of a salted token can't see each other: all its rows go on as one run.
+    """
+    order = np.lexsort((d1, size, token))
+    token, salt, d1, size = token[order], salt[order], d1[order], size[order]
+    if not len(token):
+        return token, d1, size
+    new = np.append(True, (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:]))
+    new[1:] &= ~((token[1:] == token[:-1]) & (salt[1:] >= 0) & (salt[:-1] >= 0))
+    again = np.append(False, (token[1:] == token[:-1]) & (d1[1:] == d1[:-1]) & (salt[1:] == salt[:-1]))
+    run = np.cumsum(new) - 1
+    different = np.bincount(run, weights=~again)
+    salted = salt >= 0
+    with np.errstate(over="ignore"):
+        first_of_token = np.maximum.accumulate(np.where(np.append(True, token[1:] != token[:-1]), np.arange(len(token)), 0))
+        name = np.where(salted, token, scramble((token.view(np.uint64) + (run - run[first_of_token]).astype(np.uint64)), 2).view(np.int64))
+    go = ~again & (salted | (different[run] > 1))
+    return name[go], d1[go], size[go]
+
+
 def linked_edges(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, percent: int, sketch: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of indexes that connect what links among ``sets``; where ``side`` has both values, only pairs across count."""
     order = np.argsort(sizes, kind="stable")
@@ -153,27 +189,42 @@ def similar_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     sketch[counted["id"].to_numpy(np.int64) % counters] = counted["n"].to_numpy(np.int64)
     sent, key = spark.sparkContext.broadcast(sketch.astype(np.uint32) if sketch.max(initial=0) < 1 << 32 else sketch), uuid.uuid4().hex
 
+    heavy = max(1, int(sketch.sum()) // max(1, spark.sparkContext.defaultParallelism * 64))
+
     def prefixes(batch: pa.RecordBatch) -> dict:
-        make, token, d1, d2 = kept(key, Words), [], [], []
+        make, out = kept(key, Words), {"token": [], "salt": [], "d1": [], "size": []}
         for x in texts(batch, text):
             s = make.shingles(x, words)
             if len(s):
-                mine = rare_first(s, sent.value)[: prefix_size(len(s), percent)]
-                a, b = _digest(s)
-                token.append(mine.view(np.int64))
-                d1.append(np.full(len(mine), a, np.int64))
-                d2.append(np.full(len(mine), b, np.int64))
-        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return {"token": flat(token), "d1": flat(d1), "d2": flat(d2)}
-
-    firsts = cut(map_rows(docs.where(f"`{id_col}` is not null").select(text), prefixes, "token long, d1 long, d2 long"), "prefixes")
-    shared = cut(firsts.groupBy("token").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("token"), "shared")
-    met = firsts.join(small_side(shared), "token").distinct()
+                mine = rare_first(s, sent.value)[: prefix_size(len(s), percent) + extra_size(len(s), percent)]
+                d = _digest(s)[0]
+                hot = sent.value[mine % np.uint64(len(sent.value))] > heavy
+                for k, v in zip(out, (mine.view(np.int64), np.where(hot, d % SALTS, -1), np.full(len(mine), d), np.full(len(mine), len(s))), strict=True):
+                    out[k].append(v)
+        return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in out.items()}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of some tokens: those that have a row of fitting size beside them, and what stands for a salted part."""
+        held = [[column(b, c).to_numpy() for c in ("token", "salt", "d1", "size")] for b in batches]
+        if not held:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in runs_of(*(np.concatenate(x) for x in zip(*held, strict=True)), percent)], names=["run", "d1", "size"])
+
+    rows_out = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * (100 - percent) // 75
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_out // MEETING + 1)
+    firsts = map_rows(docs.where(f"`{id_col}` is not null").select(text), prefixes, "token long, salt long, d1 long, size long").repartition(parts, "token", "salt")
+    met = cut(firsts.mapInArrow(meet, "run long, d1 long, size long"), "met")
+    shared = met.groupBy("run").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("run")
+    met = cut(met.join(shared, "run"), "met")
+    n = F.col("size")
+    smallest = F.ceil(n * percent / F.lit(100)).cast("long")
+    least = ((smallest - F.ceil(smallest * percent / F.lit(100)) + 1) / 3).cast("long") + 1
+    strong = met.groupBy("d1", "size").agg(F.countDistinct("run").alias("m")).where(F.col("m") >= least).select("d1")
+    met = cut(met.join(strong, "d1", "left_semi").select("run", "d1").distinct(), "strong")
+    stars = met.groupBy("run").agg(F.min("d1").alias("b"))
+    groups = components(met.join(stars, "run").select(F.col("d1").alias("a"), "b"))
     classes = base.where("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("class_id"), F.min("size").alias("size"))
-    met = cut(met.join(classes, ["d1", "d2"]).select("token", "d1", "d2", "class_id", "size"), "met")
-    stars = met.groupBy("token").agg(F.min("class_id").alias("b"))
-    groups = components(met.join(stars, "token").select(F.col("class_id").alias("a"), "b"))
-    candidates = met.select("class_id", "d1", "d2", "size").distinct().join(groups.withColumnsRenamed({"node": "class_id", "component": "grp"}), "class_id")
+    candidates = classes.join(groups.withColumnsRenamed({"node": "d1", "component": "grp"}), "d1")
     weights = candidates.groupBy("grp").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
     candidates = cut(candidates.join(weights, "grp").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int")), "candidates")
     whole = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text).alias("text")).join(small_side(candidates), "class_id")
