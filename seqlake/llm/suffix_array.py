@@ -23,7 +23,7 @@ from seqlake.llm.common import arrow_schema, column, cut
 
 KGRAM = 24
 #: Bytes of surroundings that a block takes; an anchor with more goes another, exact way.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Odd multipliers of the rolling and mixing hashes (fixed values).
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -256,11 +256,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-CHUNK = 1 << 23
+CHUNK = 1 << 18
 
 
 def _chunks(data: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of up to 8 MB together (a longer text alone), with the index of the first."""
+    """Runs of texts of up to 256 KB together (a longer text alone), with the index of the first."""
     first, size = 0, 0
     for i, x in enumerate(data):
         if size and size + len(x) > CHUNK:
