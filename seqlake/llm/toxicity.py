@@ -134,19 +134,19 @@ def place_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Learn from the rows where ``learn`` holds; ``labels`` has ``id_col`` and ``label`` (1: toxic).
 
-    The prior is the share of toxic rows among the labelled ones. At most about ``positives`` and ``unlabelled`` texts are
-    taken, by a hash of the text; the labels of the unlabelled ones are not looked at.
+    The prior is the share of toxic rows among the labelled ones. At most ``positives`` confirmed texts are taken, by a hash
+    of the id, and about ``unlabelled`` others, by a hash of the text; the labels of the unlabelled ones are not looked at.
     """
     known = labels.where(learn).where(F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("__label"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0))).first()
     rows = docs.where(learn).select(id_col, text).where(f"`{text}` is not null and `{text}` <> ''")
     key = F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    found = rows.join(known.where("__label = 1").select(id_col), id_col, "left_semi")
-    n_found = found.count() if toxic else 0
+    # So many ids at most: they can be sent to every task, and no text is shuffled.
+    confirmed = known.where("__label = 1").select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(positives)
     count = rows.count()
-    pick = lambda df, most, of: [r[0] for r in place_rows(df.where(key < min(1.0, most / max(of, 1))), text).collect()]
-    chosen_p = pick(found, positives, n_found) if n_found else []
-    chosen_u = pick(rows, unlabelled, count) if count else []
+    pick = lambda df: [r[0] for r in place_rows(df, text).collect()]
+    chosen_p = pick(rows.join(F.broadcast(confirmed), id_col, "left_semi")) if toxic else []
+    chosen_u = pick(rows.where(key < min(1.0, unlabelled / max(count, 1)))) if count else []
     as_rows = lambda found: [np.frombuffer(x, "<u4").astype(np.int64) for x in sorted(map(bytes, found))]
     return train(as_rows(chosen_p), as_rows(chosen_u), toxic / n if n else 0.0)
 
