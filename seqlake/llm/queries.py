@@ -11,6 +11,7 @@ from seqlake.llm.common import crc32_mod, spread, table
 from seqlake.llm.gif import digest_media, store_texts
 from seqlake.llm.language_id import identify
 from seqlake.llm.ngram_join import similar_components
+from seqlake.llm.packing import pack
 from seqlake.llm.suffix_array import remove_duplicates
 from seqlake.llm.token_counts import count_tokens
 
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     held_out = crc32_mod("doc_id", 4) == 2
@@ -50,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_gif_media": op8_gif_media,
