@@ -22,6 +22,8 @@ from seqlake.llm.common import column, cut, kept, map_rows, texts
 
 #: Tokens of a sequence, tokens of a length class, and the share by which the program may miss its bound.
 LENGTH, STEP, GAP = 2048, 8, 1e-3
+#: Steps of the linear program for each class at most; every step leaves a cover that can be used.
+STEPS = 8
 #: Parts into which each class is ranked, and cached words of a worker.
 RANKED, CACHED = 256, 600_000
 
@@ -132,21 +134,27 @@ def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float,
 def solve(size: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> list[tuple[Counter, float]]:
     """Patterns and how often each is used, of the linear program that covers ``demand`` with the fewest sequences.
 
-    Revised simplex: the basis starts with each class alone; a priced pattern enters until the duals' bound is near.
+    Revised simplex: the basis starts with each class alone; a priced pattern enters until the uses are within ``gap`` of a
+    lower bound (the tokens' own, or the one that the dual values prove).
     """
     n = len(size)
     columns = [Counter({i: int(room // size[i])}) for i in range(n)]
     inverse = np.diag(1.0 / (room // size).astype(float))
-    used = inverse @ demand
-    for step in range(40 * n + 100):
+    # Demands a little apart keep the program from stepping in place.
+    demand = demand * (1 + 1e-4 * np.linspace(0, 1, n))
+    times = lambda m, v: np.einsum("ij,j->i", m, v)  # noqa: E731  on one thread, unlike a product
+    used = times(inverse, demand)
+    bound = float((size * demand).sum()) / room  # tokens alone need so many sequences
+    for _ in range(STEPS * n):
         dual = inverse.sum(axis=0)
         best, pattern = best_pattern(np.maximum(dual, 0), size, room)
-        if best <= 1 + gap:
+        bound = max(bound, used.sum() / max(best, 1))
+        if best <= 1 + 1e-9 or used.sum() <= bound * (1 + gap):
             break
         entering = np.zeros(n)
         for k, v in pattern.items():
             entering[k] = v
-        change = inverse @ entering
+        change = times(inverse, entering)
         ratio = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
@@ -155,16 +163,9 @@ def solve(size: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) ->
         used -= amount * change
         used[out] = amount
         pivot = inverse[out] / change[out]
-        inverse -= np.outer(change, pivot)
+        inverse -= change[:, None] * pivot
         inverse[out] = pivot
         columns[out] = pattern
-        if step % 200 == 199:  # fresh numbers now and then
-            basis = np.zeros((n, n))
-            for j, p in enumerate(columns):
-                for k, v in p.items():
-                    basis[k, j] = v
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
     return [(p, float(u)) for p, u in zip(columns, np.maximum(used, 0), strict=True) if u > 1e-9]
 
 
@@ -179,7 +180,7 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[Counter, int]]:
     left = np.array([histogram[int(k)] for k in sizes], np.int64)
     out: list[tuple[Counter, int]] = []
     for pattern, use in sorted(solve(sizes, left.astype(float), room), key=lambda x: -x[1]):
-        whole = min([int(use + 1e-9), *(int(left[k]) // v for k, v in pattern.items())])
+        whole = min([int(use + 1e-3), *(int(left[k]) // v for k, v in pattern.items())])
         if whole > 0:
             out.append((Counter({int(sizes[k]): v for k, v in pattern.items()}), whole))
             for k, v in pattern.items():
