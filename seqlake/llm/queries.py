@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from seqlake.llm import toxicity
 from seqlake.llm.common import crc32_mod, spread, table
 from seqlake.llm.gif import digest_media, store_texts
+from seqlake.llm.hnsw import search_all
 from seqlake.llm.language_id import identify
+from seqlake.llm.mixing import mix, mix_sql
 from seqlake.llm.ngram_join import similar_components
 from seqlake.llm.packing import pack
 from seqlake.llm.suffix_array import remove_duplicates
 from seqlake.llm.token_counts import count_tokens
+from seqlake.llm.url_filter import judge
+from seqlake.llm.url_sql import judge_sql
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +25,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_all(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 100 == 0)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return kept.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("cell_weight"), F.round("mix_prob", 6).alias("keep_prob"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,6 +45,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
@@ -55,12 +72,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_nearest": op2_nearest,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
+    "op6_url_filter": op6_url_filter,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_gif_media": op8_gif_media,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_mixing": mix_sql("select doc_id, text, lang, source from documents", "doc_id, d.source, d.lang, d.topic, tokens as n_tokens, round(weight, 6) as cell_weight, round(prob, 6) as keep_prob"),
+    "op6_url_filter": judge_sql(),
+}
