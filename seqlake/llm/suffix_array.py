@@ -283,9 +283,6 @@ def _map(df: DataFrame, run, ddl: str) -> DataFrame:
     return df.mapInArrow(batches, struct)
 
 
-#: Rows up to which a table of flagged places is broadcast to the texts; beyond it both are shuffled by document.
-SMALL = 1_000_000
-
 
 def duplicate_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``id, t, text, spans``: each row's duplicated byte runs as sorted, disjoint ``struct<start:int,end:int>``.
@@ -311,7 +308,7 @@ def duplicate_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id
     sure = met.where("not mixed").select("k", "t", "lo", "hi")
 
     flagged = met.where("mixed").groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi", "h", "around")).alias("at"))
-    with_text = keyed.join(F.broadcast(flagged) if met.where("mixed").count() <= SMALL else flagged, ["k", "t"])
+    with_text = keyed.join(flagged, ["k", "t"])
 
     def surroundings(batch: pa.RecordBatch) -> Iterator[dict]:
         out: dict = {"h": [], "around": [], "region": []}
