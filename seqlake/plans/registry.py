@@ -276,3 +276,11 @@ def canonical_digest(v: DataFrame) -> DataFrame:
     from seqlake.operators.canonical import lines
 
     return lines(R.ordered(v)).select("i", F.sha2("line", 256).alias("sha256"))
+
+
+@query()
+def batch_footers(v: DataFrame) -> DataFrame:
+    """Greedy batches of at most 100 rows or six hours; a fold in order, so it has no SQL."""
+    from seqlake.operators.batches import batched, footers
+
+    return footers(batched(v.withColumn("bytes", F.octet_length(F.coalesce("props", F.lit("")))), "bytes", age_us=21_600_000_000, rows=100))
