@@ -284,3 +284,11 @@ def batch_footers(v: DataFrame) -> DataFrame:
     from seqlake.operators.batches import batched, footers
 
     return footers(batched(v.withColumn("bytes", F.octet_length(F.coalesce("props", F.lit("")))), "bytes", age_us=21_600_000_000, rows=100))
+
+
+@query()
+def policy_drop(v: DataFrame) -> DataFrame:
+    """What a writer that needs ten minutes a record keeps behind a queue of four; a simulation in order, so it has no SQL."""
+    from seqlake.operators.policies import simulate
+
+    return simulate(v, "drop", depth=4, service_us=600_000_000)
