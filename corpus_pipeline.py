@@ -10,10 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import crc32_mod, cut, map_rows, spread
+from seqlake.llm.common import column, crc32_mod, cut, map_rows, spread
 from seqlake.llm.language_id import identify
 from seqlake.llm.mixing import mix
-from seqlake.llm.ngram_join import similar_components
+from seqlake.llm.ngram_join import similar_rows
 from seqlake.llm.packing import pack
 from seqlake.llm.suffix_array import remove_duplicates
 
@@ -27,26 +27,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Of rows that share an id, one stays.
+    Every row is a document of its own: rows whose ids are null or equal stay unless their texts are near duplicates. Null
+    counts as the largest id; of rows with one id the least hash of the text decides, and of full copies one stays. Rows
+    without words all stay.
     """
-    groups = similar_components(spread(docs), words=5, percent=80)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return one.dropDuplicates(["doc_id"]) if repeated else one
+    first = similar_rows(spread(docs), words=5, percent=80).where("first")
+    kept = cut(first.groupBy(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("none"), "t").agg((F.count("*") > 1).alias("again"), (F.max("size") > 0).alias("worded")), "kept")
+    rows = docs.select("*", F.struct(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).alias("key"))
+
+    def meeting(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, (rows["key.k"] == keys["k"]) & (rows["key.none"] == keys["none"]) & (rows["key.t"] == keys["t"]), "left_semi")
+
+    copies = kept.where("again and worded")
+    if not copies.limit(1).count():
+        return meeting(kept).select(*docs.columns)
+    return meeting(kept.where("not (again and worded)")).unionByName(meeting(copies).dropDuplicates(["key"])).select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 200 bytes or more that occur again, in any document; halves of characters go with them."""
-    kept = remove_duplicates(spread(docs))
+    """Cut passages of 200 bytes or more that occur again, in any document; halves of characters go with them.
+
+    Every row stays one row, whether its id is null, repeated or neither. Null texts become empty.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = remove_duplicates(spread(docs), keep=rest)
 
     def decode(batch) -> dict:
-        text = [x.decode(errors="ignore") for x in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "text": text, "n_chars": [len(x) for x in text]}
+        text = [x.decode(errors="ignore") for x in column(batch, "kept").to_pylist()]
+        return {"text": text, "n_chars": [len(x) for x in text]} | {c: column(batch, c) for c in ("doc_id", *rest)}
 
-    texts = map_rows(kept.select("doc_id", "kept"), decode, "doc_id long, text string, n_chars long")
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    return docs.select(*rest).join(texts, "doc_id").select(*docs.columns)
+    return map_rows(kept.select("doc_id", "kept", *rest), decode, docs.schema)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

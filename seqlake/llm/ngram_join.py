@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqlake.llm.common import column, cut, kept, map_rows, texts
+from seqlake.llm.common import arrow_schema, column, cut, kept, map_rows, texts
 from seqlake.llm.graph import components
 
 #: Counters of the sketch, n-grams of a block, words that a worker keeps, and rows up to which a table is broadcast.
@@ -88,23 +89,28 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-def shingle_rows(docs: DataFrame, n: int, id_col: str, text: str) -> DataFrame:
-    """``kind`` 0: ``id, size, d1, d2`` for each row; ``kind`` 1: a partition's sketch as (``id``: counter, ``size``: count)."""
-    key, schema = uuid.uuid4().hex, pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("size", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+def keyed_texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id, text, t`` (a hash of the text) for each row. Null texts count as empty."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+
+
+def shingle_rows(keyed: DataFrame, n: int) -> DataFrame:
+    """``kind`` 0: ``id, t, size, d1, d2`` for each row; ``kind`` 1: a partition's sketch as (``id``: counter, ``size``: count)."""
+    key, schema = uuid.uuid4().hex, pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("t", pa.int64()), ("size", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = kept(key, Words), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sets = [words.shingles(x, n) for x in texts(batch, text)]
+            sets = [words.shingles(x, n) for x in texts(batch)]
             for s in sets:
                 np.add.at(counts, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
             digests = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), column(batch, id_col).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), column(batch, "id"), column(batch, "t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())], schema=schema)
         at = np.flatnonzero(counts)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(counts[at]), none, none], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), none, pa.array(counts[at]), none, none], schema=schema)
 
-    return docs.select(id_col, text).mapInArrow(run, "kind int, id long, size long, d1 long, d2 long")
+    return keyed.mapInArrow(run, "kind int, id long, t long, size long, d1 long, d2 long")
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -172,18 +178,16 @@ def linked_edges(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, pe
     return edges
 
 
-def similar_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS, block: int = BLOCK) -> DataFrame:
-    """``id_col, n_shingles, class_id, component_id`` for each row of ``docs``.
+def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS, block: int = BLOCK) -> DataFrame:
+    """``id, t, size, class_id, component_id, first`` for each row of ``docs``, as ``similar_components`` says.
 
-    ``n_shingles`` is the size of the text's set of distinct ``words``-grams; ``class_id`` the smallest id with the same set;
-    ``component_id`` the smallest id that links of at least ``percent`` per cent Jaccard similarity lead to, itself included.
-    A text of fewer words has one n-gram, its whole sequence; null, empty and wordless texts have none and link with nothing.
-    Rows that share an id count as one document with several texts. Very long texts are taken whole; an empty table gives
-    none; further columns of ``docs`` are not read. Ids are whole numbers.
+    ``t`` is the hash of the row's text. ``first`` marks the rows without n-grams and, of each component, the row of the
+    smallest id (null is the largest) and among equal ids of the smallest ``t``; it marks all rows that share both.
     """
     spark = docs.sparkSession
-    rows = cut(shingle_rows(docs, words, id_col, text), "shingles")
-    base = rows.where("kind = 0 and id is not null")
+    keyed = keyed_texts(docs, id_col, text)
+    rows = cut(shingle_rows(keyed, words).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    base = rows.where("kind = 0").drop("kind")
     counted = rows.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")).toPandas()
     sketch = np.zeros(counters, np.int64)
     sketch[counted["id"].to_numpy(np.int64) % counters] = counted["n"].to_numpy(np.int64)
@@ -193,7 +197,7 @@ def similar_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
 
     def prefixes(batch: pa.RecordBatch) -> dict:
         make, out = kept(key, Words), {"token": [], "salt": [], "d1": [], "size": []}
-        for x in texts(batch, text):
+        for x in texts(batch):
             s = make.shingles(x, words)
             if len(s):
                 mine = rare_first(s, sent.value)[: prefix_size(len(s), percent) + extra_size(len(s), percent)]
@@ -212,7 +216,7 @@ def similar_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
 
     rows_out = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * (100 - percent) // 75
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_out // MEETING + 1)
-    firsts = map_rows(docs.where(f"`{id_col}` is not null").select(text), prefixes, "token long, salt long, d1 long, size long").repartition(parts, "token", "salt")
+    firsts = map_rows(keyed.select("text"), prefixes, "token long, salt long, d1 long, size long").repartition(parts, "token", "salt")
     met = cut(firsts.mapInArrow(meet, "run long, d1 long, size long"), "met")
     shared = met.groupBy("run").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("run")
     met = cut(met.join(shared, "run"), "met")
@@ -223,38 +227,65 @@ def similar_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     met = cut(met.join(strong, "d1", "left_semi").select("run", "d1").distinct(), "strong")
     stars = met.groupBy("run").agg(F.min("d1").alias("b"))
     groups = components(met.join(stars, "run").select(F.col("d1").alias("a"), "b"))
-    classes = base.where("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("class_id"), F.min("size").alias("size"))
+    # A class goes by the number of one of its rows, as ids may be null or repeated.
+    lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("rep")
+    classes = base.where("size > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), lowest, F.min("size").alias("size"))
     candidates = classes.join(groups.withColumnsRenamed({"node": "d1", "component": "grp"}), "d1")
     weights = candidates.groupBy("grp").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
     candidates = cut(candidates.join(weights, "grp").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int")), "candidates")
-    whole = docs.select(F.col(id_col).cast("long").alias("class_id"), F.col(text).alias("text")).join(small_side(candidates), "class_id")
-
-    def gather(batch: pa.RecordBatch) -> dict:
-        make, out = kept(key, Words), {k: [] for k in ("grp", "class_id", "block", "blocks", "shingles")}
-        for x, grp, rep, d1, d2, at, blocks in zip(texts(batch), *(column(batch, c).to_pylist() for c in ("grp", "class_id", "d1", "d2", "block", "blocks")), strict=True):
-            s = make.shingles(x, words)
-            if _digest(s) == (d1, d2):
-                for k, v in zip(out, (grp, rep, at, blocks, s.tobytes()), strict=True):
-                    out[k].append(v)
-        return out
+    wanted = candidates.select(F.coalesce("rep.id", F.lit(0)).alias("k"), F.col("rep.t").alias("t"), "grp", "node", "d1", "d2", "block", "blocks")
+    whole = keyed.select(F.coalesce("id", F.lit(0)).alias("k"), "t", "text").join(small_side(wanted), ["k", "t"])
+    schema = arrow_schema(T.StructType.fromDDL("grp long, node long, block int, blocks int, shingles binary"))
 
-    sets = map_rows(whole, gather, "grp long, class_id long, block int, blocks int, shingles binary")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A class's n-grams once for each partition, however many rows share its id and text."""
+        seen: set[int] = set()
+        for batch in batches:
+            make, out = kept(key, Words), {f.name: [] for f in schema}
+            for x, grp, node, d1, d2, at, blocks in zip(texts(batch), *(column(batch, c).to_pylist() for c in ("grp", "node", "d1", "d2", "block", "blocks")), strict=True):
+                if node in seen:
+                    continue
+                s = make.shingles(x, words)
+                if _digest(s) == (d1, d2):
+                    seen.add(node)
+                    for k, v in zip(out, (grp, node, at, blocks, s.tobytes()), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+    sets = whole.mapInArrow(gather, "grp long, node long, block int, blocks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meets = sets.select("*", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["class_id", "shingles"]).sort_values(["class_id", "block"])
+        pdf = pdf.drop_duplicates(["node"]).sort_values(["node"])
         found = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        ids = pdf["class_id"].to_numpy()
+        nodes = pdf["node"].to_numpy()
         edges = linked_edges(found, np.array([len(s) for s in found], np.int64), pdf["block"].to_numpy(), percent, sent.value)
-        return pd.DataFrame({"a": [ids[i] for i, _ in edges], "b": [ids[j] for _, j in edges]}, dtype="int64")
+        return pd.DataFrame({"a": [nodes[i] for i, _ in edges], "b": [nodes[j] for _, j in edges]}, dtype="int64")
 
-    edges = meets.groupBy("grp", "lo", "hi").applyInPandas(verify, "a long, b long")
-    linked = components(edges).withColumnsRenamed({"node": "class_id", "component": "linked"})
-    named = classes.join(linked, "class_id", "left").select("d1", "d2", "class_id", F.coalesce("linked", "class_id").alias("component_id"))
+    linked = components(meets.groupBy("grp", "lo", "hi").applyInPandas(verify, "a long, b long"))
+    least = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    named = classes.join(linked, "node", "left").select("d1", "d2", "rep", F.coalesce("least", "rep").alias("least"))
     found = base.join(named, ["d1", "d2"], "left")
-    own = F.col("id")
+    wordless = F.col("rep").isNull()
     return found.select(
-        own.cast(docs.schema[id_col].dataType).alias(id_col), F.col("size").alias("n_shingles"),
-        F.coalesce("class_id", own).cast(docs.schema[id_col].dataType).alias("class_id"), F.coalesce("component_id", own).cast(docs.schema[id_col].dataType).alias("component_id"),
+        "id", "t", "size", F.when(wordless, F.col("id")).otherwise(F.col("rep.id")).alias("class_id"), F.when(wordless, F.col("id")).otherwise(F.col("least.id")).alias("component_id"),
+        (wordless | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("t") == F.col("least.t")))).alias("first"),
     )
+
+
+def similar_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS, block: int = BLOCK) -> DataFrame:
+    """``id_col, n_shingles, class_id, component_id`` for each row of ``docs``.
+
+    ``n_shingles`` is the size of the text's set of distinct ``words``-grams; ``class_id`` the smallest id with the same set;
+    ``component_id`` the smallest id that links of at least ``percent`` per cent Jaccard similarity lead to, itself included.
+    A text of fewer words has one n-gram, its whole sequence; null, empty and wordless texts have none and link with nothing.
+    Every row is a document of its own, whatever its id: rows that share an id are linked by their texts only, and a row
+    whose id is null is joined like any other. Null counts as larger than any id, so ``class_id`` and ``component_id`` are
+    null only where no row of the class or component has an id. Very long texts are taken whole; an empty table gives none;
+    further columns of ``docs`` are not read. Ids are whole numbers.
+    """
+    found = similar_rows(docs, words=words, percent=percent, id_col=id_col, text=text, counters=counters, block=block)
+    named = lambda c: F.col(c).cast(docs.schema[id_col].dataType)
+    return found.select(named("id").alias(id_col), F.col("size").alias("n_shingles"), named("class_id").alias("class_id"), named("component_id").alias("component_id"))

@@ -271,8 +271,8 @@ def _chunks(data: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, data[first:]
 
 
-def _map(df: DataFrame, run, ddl: str) -> DataFrame:
-    struct = T.StructType.fromDDL(ddl)
+def _map(df: DataFrame, run, ddl: str, more: list[T.StructField] | None = None) -> DataFrame:
+    struct = T.StructType([*T.StructType.fromDDL(ddl), *(more or [])])
     schema = arrow_schema(struct)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,15 +284,16 @@ def _map(df: DataFrame, run, ddl: str) -> DataFrame:
 
 
 
-def duplicate_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """``id, t, text, spans``: each row's duplicated byte runs as sorted, disjoint ``struct<start:int,end:int>``.
+def duplicate_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
+    """``id, t, text, marks, more``: each row's duplicated byte runs as sorted, disjoint ``struct<start:int,end:int>``.
 
     ``id`` is the row's id and ``t`` a hash of its text. Rows that repeat are texts of their own, so their whole text is
-    duplicated if it has ``length`` bytes. Null texts count as empty.
+    duplicated if it has ``length`` bytes. Null texts count as empty. ``more`` holds the row's columns ``keep``, if asked for.
     """
     if length < 2 * KGRAM:
         raise ValueError(f"passages must have {2 * KGRAM} bytes or more")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    more = [F.struct(*keep).alias("more")] if keep else []
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more).withColumn("t", F.xxhash64("text"))
     keyed = rows.select(F.coalesce(F.col("id").cast("long"), F.lit(-1)).alias("k"), "t", "text").where(F.octet_length("text") >= length)
 
     def find(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -347,15 +348,16 @@ def duplicate_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id
     settled_marks = met.where("mixed").join(runs, ["h", "around"]).select("k", "t", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     marks = sure.unionByName(settled_marks).groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
     joined = rows.withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(-1))).join(marks, ["k", "t"], "left")
-    return joined.select("id", "t", "text", F.coalesce("marks", F.array().cast("array<struct<lo:int,hi:int>>")).alias("marks"))
+    return joined.select("id", "t", "text", F.coalesce("marks", F.array().cast("array<struct<lo:int,hi:int>>")).alias("marks"), *(["more"] if keep else []))
 
 
-def remove_duplicates(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """``id_col, n_bytes, spans, kept`` for each row of ``docs``: its duplicated byte runs, and the bytes outside them.
+def remove_duplicates(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
+    """``id_col, n_bytes, spans, kept`` and the columns ``keep`` for each row of ``docs``: its duplicated byte runs, and the bytes outside them.
 
     A byte goes if a string of ``length`` bytes over it also starts at another place of any text, its own included; strings
     are judged on the input. Null texts count as empty; texts shorter than ``length`` keep every byte; rows that repeat
-    count as texts of their own. An empty table gives none; further columns are not read. Ids are whole numbers.
+    count as texts of their own, whether their ids are null, equal or not. An empty table gives none; further columns are
+    not read. Ids are whole numbers.
     """
 
     def apply(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -367,7 +369,8 @@ def remove_duplicates(docs: DataFrame, *, length: int = 200, id_col: str = "doc_
             spans.append([{"start": a, "end": b} for a, b in runs])
             kept.append(b"".join(data[a:b] for a, b in zip(*at, strict=True)))
             sizes.append(len(data))
-        yield {id_col: column(batch, "id"), "n_bytes": sizes, "spans": spans, "kept": kept}
+        more = column(batch, "more") if keep else None
+        yield {id_col: column(batch, "id"), "n_bytes": sizes, "spans": spans, "kept": kept} | {c: more.field(c) for c in keep or ()}
 
-    found = duplicate_spans(docs, length=length, id_col=id_col, text=text, block=block)
-    return _map(found, apply, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    found = duplicate_spans(docs, length=length, id_col=id_col, text=text, block=block, keep=keep)
+    return _map(found, apply, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary", [docs.schema[c] for c in keep or ()])

@@ -55,6 +55,29 @@ def test_ngram_join(docs):
     assert ngram_join.similar_components(docs.limit(0)).count() == 0
 
 
+ODD = [
+    (None, "a clean text of its own that no other row is like at all", "en", "s", 1), (None, "and one more clean text which differs from all the rest here", "en", "s", 2),
+    (None, "a text whose copy has an id and so goes before this row", "en", "s", 3), (5, "a text whose copy has an id and so goes before this row", "en", "s", 4),
+    (7, "two rows with this id have texts that differ, this is one", "en", "s", 5), (7, "while the second of them says something else in its words", "en", "s", 6),
+    (8, "a row that stands here twice, with its id and all it has", "en", "s", 7), (8, "a row that stands here twice, with its id and all it has", "en", "s", 7),
+    (None, "a row without an id that stands here twice in the same words", "en", "s", 8), (None, "a row without an id that stands here twice in the same words", "en", "s", 8),
+    (None, None, "en", "s", 9), (None, "", "en", "s", 10), (9, "", "en", "s", 11), (9, "", "en", "s", 11),
+]
+
+
+def test_rows_without_and_with_repeated_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    got = ngram_join.similar_components(docs, words=3, percent=80).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in ODD)
+    assert Counter((r.doc_id, r.component_id) for r in got if r.doc_id != r.component_id) == Counter({(None, 5): 1})
+    left = corpus_pipeline.near_duplicates(spark, docs, SF)
+    want = Counter((i, x) for i, x, *_ in ODD) - Counter({(None, ODD[2][1]): 1, (8, ODD[6][1]): 1, (None, ODD[8][1]): 1})
+    assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == want
+    cleaned = corpus_pipeline.passages(spark, docs, SF)
+    assert cleaned.columns == docs.columns and Counter((r.doc_id, r.text, r.source) for r in cleaned.collect()) == Counter((i, x or "", s) for i, x, _, s, _ in ODD)
+
+
 def test_suffix_dedup(docs):
     texts = [r[1] or "" for r in ROWS]
     count = Counter(x.encode()[i : i + 200] for x in texts for i in range(len(x.encode()) - 199))
