@@ -5,8 +5,10 @@ first ``p(n) = n - ceil(s n) + 1`` of each under any total order of all tokens,
 are looked at. The first order puts the corpus's rare tokens first (by a fixed-size count sketch over all documents): its
 prefixes, a third longer, meet by token, and only classes that share enough tokens with classes of fitting size go on,
 grouped by what they share. Within a group a pair must also share prefix tokens under two other orders, and only pairs that
-pass all three filters are verified. Large groups are cut into blocks that meet pairwise, so that no task holds more than two
-blocks, and a pair whose classes are connected already isn't verified again.
+pass all three filters are verified, every one of them and each in one task: links are counted, not only what connects.
+Where a prefix meets most sets of its group, all sets of fitting size are verified and the filters left out. Large groups
+are cut into blocks that meet pairwise, so that no task holds more than two blocks; a task returns a sum of links for each
+class and edges that connect what links, never the pairs.
 """
 
 from __future__ import annotations
@@ -143,43 +145,71 @@ def runs_of(token: np.ndarray, salt: np.ndarray, d1: np.ndarray, size: np.ndarra
 
 def linked_edges(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, percent: int, sketch: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of indexes that connect what links among ``sets``; where ``side`` has both values, only pairs across count."""
-    order = np.argsort(sizes, kind="stable")
-    parent = list(range(len(sets)))
+    return links_among(sets, side, percent, sketch, len(set(side.tolist())) > 1, np.ones(len(sets), np.int64))[0]
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    across = len(set(side.tolist())) > 1
+def links_among(sets: list[np.ndarray], side: np.ndarray, percent: int, sketch: np.ndarray, across: bool, rows: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(pairs of indexes that connect what links among ``sets``, the ``rows`` of all sets that each one links with).
+
+    ``across``: only pairs whose ``side`` differs count.
+    """
+    links, edges = np.zeros(len(sets), np.int64), []
+    if not sets:
+        return edges, links
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(sets[i]) for i in order], np.int64)
+    end = np.cumsum(size)
+    numbers = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1].astype(np.int32)
+    mark, component, sides = np.zeros(numbers.max(initial=0) + 1, np.uint8), np.arange(len(sets)), np.asarray(side)[order]
     orders = (lambda s: rare_first(s, sketch), lambda s: s[np.argsort(scramble(s, 2))], lambda s: s[np.argsort(scramble(s, 3))])
     postings: list[dict[int, list[int]]] = [{} for _ in orders]
-    edges = []
-    for i in order.tolist():
+    for r, i in enumerate(order.tolist()):
         s, p, found = sets[i], prefix_size(len(sets[i]), percent), None
+        fitting = int(np.searchsorted(100 * size[:r], percent * len(s)))
         for arrange, posting in zip(orders, postings, strict=True):
-            hits: set[int] = set()
             mine = arrange(s)[:p].tolist()
-            if found is None or found:
-                for t in mine:
-                    hits.update(posting.get(t, ()))
-                found = hits if found is None else found & hits
+            if found is None:
+                met = [posting[t] for t in mine if t in posting]
+                # Reading all sets of fitting size costs less than meeting most of them again and again.
+                found = range(fitting, r) if sum(map(len, met)) > 2 * (r - fitting) else set().union(*met)
+            elif found and isinstance(found, set):
+                found &= set().union(*(posting[t] for t in mine if t in posting))
             for t in mine:
-                posting.setdefault(t, []).append(i)
-        # The largest of the smaller ones first: the likeliest to link, and once linked its whole group is skipped.
-        for j in sorted(found or (), key=lambda j: (-sizes[j], j)):
-            if (across and side[i] == side[j]) or 100 * sizes[j] < percent * sizes[i] or root(i) == root(j):
+                posting.setdefault(t, []).append(r)
+        if not found:
+            continue
+        if isinstance(found, range):
+            at, theirs = np.arange(fitting, r), numbers[end[fitting] - size[fitting] : end[r - 1]]
+        else:
+            at = np.array(sorted(j for j in found if j >= fitting and not (across and sides[j] == sides[r])), np.int64)
+            if not len(at):
                 continue
-            both = len(np.intersect1d(s, sets[j], assume_unique=True))
-            if 100 * both >= percent * (len(s) + len(sets[j]) - both):
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-                edges.append((i, j))
-    return edges
+            theirs = np.concatenate([numbers[end[j] - size[j] : end[j]] for j in at.tolist()])
+        own = numbers[end[r] - size[r] : end[r]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[theirs], np.cumsum(size[at]) - size[at], dtype=np.int64)
+        mark[own] = 0
+        good = 100 * both >= percent * (len(s) + size[at] - both)
+        if across:
+            good &= sides[at] != sides[r]
+        at = at[good]
+        if len(at):
+            links[i] += rows[order[at]].sum()
+            links[order[at]] += rows[i]
+            groups, first = np.unique(component[at], return_index=True)
+            new = [(i, int(order[at[k]])) for k, c in zip(first.tolist(), groups.tolist(), strict=True) if c != component[r]]
+            edges.extend(new)
+            for c in groups.tolist():
+                if c != component[r]:
+                    if component[r] == r:
+                        component[r] = c
+                    else:
+                        component[: r + 1][component[: r + 1] == c] = component[r]
+    return edges, links
 
 
 def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS, block: int = BLOCK) -> DataFrame:
-    """``id, t, size, class_id, component_id, first`` for each row of ``docs``, as ``similar_components`` says.
+    """``id, t, size, class_id, component_id, n_links, first`` for each row of ``docs``, as ``similar_components`` says.
 
     ``t`` is the hash of the row's text. ``first`` marks the rows without n-grams and, of each component, the row of the
     smallest id (null is the largest) and among equal ids of the smallest ``t``; it marks all rows that share both.
@@ -229,30 +259,30 @@ def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
     groups = components(met.join(stars, "run").select(F.col("d1").alias("a"), "b"))
     # A class goes by the number of one of its rows, as ids may be null or repeated.
     lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("rep")
-    classes = base.where("size > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), lowest, F.min("size").alias("size"))
+    classes = base.where("size > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), lowest, F.min("size").alias("size"), F.count("*").alias("rows"))
     candidates = classes.join(groups.withColumnsRenamed({"node": "d1", "component": "grp"}), "d1")
     weights = candidates.groupBy("grp").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
     candidates = cut(candidates.join(weights, "grp").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int")), "candidates")
-    wanted = candidates.select(F.coalesce("rep.id", F.lit(0)).alias("k"), F.col("rep.t").alias("t"), "grp", "node", "d1", "d2", "block", "blocks")
+    wanted = candidates.select(F.coalesce("rep.id", F.lit(0)).alias("k"), F.col("rep.t").alias("t"), "grp", "node", "d1", "d2", "rows", "block", "blocks")
     whole = keyed.select(F.coalesce("id", F.lit(0)).alias("k"), "t", "text").join(small_side(wanted), ["k", "t"])
-    schema = arrow_schema(T.StructType.fromDDL("grp long, node long, block int, blocks int, shingles binary"))
+    schema = arrow_schema(T.StructType.fromDDL("grp long, node long, rows long, block int, blocks int, shingles binary"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A class's n-grams once for each partition, however many rows share its id and text."""
         seen: set[int] = set()
         for batch in batches:
             make, out = kept(key, Words), {f.name: [] for f in schema}
-            for x, grp, node, d1, d2, at, blocks in zip(texts(batch), *(column(batch, c).to_pylist() for c in ("grp", "node", "d1", "d2", "block", "blocks")), strict=True):
+            for x, grp, node, d1, d2, n, at, blocks in zip(texts(batch), *(column(batch, c).to_pylist() for c in ("grp", "node", "d1", "d2", "rows", "block", "blocks")), strict=True):
                 if node in seen:
                     continue
                 s = make.shingles(x, words)
                 if _digest(s) == (d1, d2):
                     seen.add(node)
-                    for k, v in zip(out, (grp, node, at, blocks, s.tobytes()), strict=True):
+                    for k, v in zip(out, (grp, node, n, at, blocks, s.tobytes()), strict=True):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    sets = whole.mapInArrow(gather, "grp long, node long, block int, blocks int, shingles binary")
+    sets = whole.mapInArrow(gather, "grp long, node long, rows long, block int, blocks int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meets = sets.select("*", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
@@ -260,26 +290,32 @@ def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
         pdf = pdf.drop_duplicates(["node"]).sort_values(["node"])
         found = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         nodes = pdf["node"].to_numpy()
-        edges = linked_edges(found, np.array([len(s) for s in found], np.int64), pdf["block"].to_numpy(), percent, sent.value)
-        return pd.DataFrame({"a": [nodes[i] for i, _ in edges], "b": [nodes[j] for _, j in edges]}, dtype="int64")
-
-    linked = components(meets.groupBy("grp", "lo", "hi").applyInPandas(verify, "a long, b long"))
+        across = bool((pdf["lo"] != pdf["hi"]).any())  # even if one of the two blocks is empty: each block also meets itself
+        edges, links = links_among(found, pdf["block"].to_numpy(), percent, sent.value, across, pdf["rows"].to_numpy(np.int64))
+        some = np.flatnonzero(links)
+        ends = np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": np.append(nodes[ends[:, 0]], nodes[some]), "b": np.append(nodes[ends[:, 1]], nodes[some]), "n": np.append(np.zeros(len(ends), np.int64), links[some])}, dtype="int64")
+
+    verified = cut(meets.groupBy("grp", "lo", "hi").applyInPandas(verify, "a long, b long, n long"), "verified")
+    linked = components(verified.where("a <> b").select("a", "b"))
+    counts = verified.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     least = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
-    linked = linked.join(least, "component").select("node", "least")
-    named = classes.join(linked, "node", "left").select("d1", "d2", "rep", F.coalesce("least", "rep").alias("least"))
+    linked = linked.join(least, "component").join(counts, "node").select("node", "least", "n")
+    named = classes.join(linked, "node", "left").select("d1", "d2", "rep", F.coalesce("least", "rep").alias("least"), (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     found = base.join(named, ["d1", "d2"], "left")
     wordless = F.col("rep").isNull()
     return found.select(
         "id", "t", "size", F.when(wordless, F.col("id")).otherwise(F.col("rep.id")).alias("class_id"), F.when(wordless, F.col("id")).otherwise(F.col("least.id")).alias("component_id"),
-        (wordless | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("t") == F.col("least.t")))).alias("first"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (wordless | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("t") == F.col("least.t")))).alias("first"),
     )
 
 
 def similar_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", counters: int = COUNTERS, block: int = BLOCK) -> DataFrame:
-    """``id_col, n_shingles, class_id, component_id`` for each row of ``docs``.
+    """``id_col, n_shingles, class_id, component_id, n_links`` for each row of ``docs``.
 
     ``n_shingles`` is the size of the text's set of distinct ``words``-grams; ``class_id`` the smallest id with the same set;
-    ``component_id`` the smallest id that links of at least ``percent`` per cent Jaccard similarity lead to, itself included.
+    ``component_id`` the smallest id that links of at least ``percent`` per cent Jaccard similarity lead to, itself included;
+    ``n_links`` the number of other rows that the row itself links with, those with the same set among them.
     A text of fewer words has one n-gram, its whole sequence; null, empty and wordless texts have none and link with nothing.
     Every row is a document of its own, whatever its id: rows that share an id are linked by their texts only, and a row
     whose id is null is joined like any other. Null counts as larger than any id, so ``class_id`` and ``component_id`` are
@@ -288,4 +324,4 @@ def similar_components(docs: DataFrame, *, words: int = 5, percent: int = 80, id
     """
     found = similar_rows(docs, words=words, percent=percent, id_col=id_col, text=text, counters=counters, block=block)
     named = lambda c: F.col(c).cast(docs.schema[id_col].dataType)
-    return found.select(named("id").alias(id_col), F.col("size").alias("n_shingles"), named("class_id").alias("class_id"), named("component_id").alias("component_id"))
+    return found.select(named("id").alias(id_col), F.col("size").alias("n_shingles"), named("class_id").alias("class_id"), named("component_id").alias("component_id"), "n_links")

@@ -164,6 +164,18 @@ def test_join_equals_brute_force(spark):
     assert got == label
 
 
+@pytest.mark.parametrize("block", [ngram_join.BLOCK, 200])
+def test_links_equal_brute_force(spark, block):
+    """Groups of many similar texts, with copies, in one block and in many."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:20] + [f"x{i}"] + words[20:]) for i in range(12)] + [" ".join(words)] * 3 + [" ".join(words[:i]) for i in range(40, 60)] + ["alone in all this", ""]
+    rows = [(i if i % 5 else None, x) for i, x in enumerate(texts)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = [sum(k != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for k, b in enumerate(sets)) for j, a in enumerate(sets)]
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=80, block=block).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((i, n) for (i, _), n in zip(rows, want, strict=True))
+
+
 def test_pipeline_stages_hand_on(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
