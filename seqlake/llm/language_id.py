@@ -33,15 +33,21 @@ MARGIN, SOFTNESS = 0.004, 2.0
 
 
 def fit_dictionaries(labelled: DataFrame, *, text: str = "text", lang: str = "lang", texts_per_lang: int = TEXTS_PER_LANG, chars: int = CHARS_PER_TEXT) -> dict[str, bytes]:
-    """A dictionary for every language of ``labelled`` (rows with null text or language count for nothing)."""
+    """A dictionary for every language of ``labelled`` (rows with null text or language count for nothing).
+
+    Equal texts of a language count once, however often they stand there. A language whose texts are few or none by the draw
+    has the text of the least hash in any case.
+    """
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null and t <> ''")
-    counts = {r[0]: r[1] for r in rows.groupBy("l").count().collect()}
+    rows = rows.withColumn("k", F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13))
+    counts = {r[0]: (r[1], r[2]) for r in rows.select("l", "k").distinct().groupBy("l").agg(F.count("*"), F.min("k")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, texts_per_lang / n))])
-    key = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    place = (key * 1e6 % 1 * (F.greatest(F.length("t") - chars, F.lit(0)) + 1)).cast("int") + 1
-    sample = rows.withColumn("k", key).where(F.col("k") < share[F.col("l")]).select("l", "k", F.substring("t", place, F.lit(chars)).alias("s")).distinct()
+    share = F.create_map(*[F.lit(x) for k, (n, _) in sorted(counts.items()) for x in (k, min(1.0, texts_per_lang / n))])
+    least = F.create_map(*[F.lit(x) for k, (_, low) in sorted(counts.items()) for x in (k, low)])
+    place = (F.col("k") * 1e6 % 1 * (F.greatest(F.length("t") - chars, F.lit(0)) + 1)).cast("int") + 1
+    drawn = (F.col("k") < share[F.col("l")]) | (F.col("k") == least[F.col("l")])
+    sample = rows.where(drawn).select("l", "k", F.substring("t", place, F.lit(chars)).alias("s")).distinct()
     found: dict[str, list[tuple]] = {}
     for r in sample.collect():
         found.setdefault(r["l"], []).append((r["k"], r["s"]))

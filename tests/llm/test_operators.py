@@ -40,6 +40,15 @@ def test_language(docs):
     assert language_id.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_dictionaries_count_copies_once(spark):
+    texts = [f"texto numero {chr(97 + i % 26)}{chr(97 + i // 26)} de los que hay en esta lengua" for i in range(40)]
+    rows = spark.createDataFrame([(x, "es") for x in texts] + [(f"words {chr(97 + i)} of it", "en") for i in range(9)], "text string, lang string")
+    copies = spark.range(20000).select(F.lit("una copia que se repite").alias("text"), F.lit("es").alias("lang"))
+    one = language_id.fit_dictionaries(rows.unionByName(copies.limit(1)), texts_per_lang=20)
+    assert language_id.fit_dictionaries(rows.unionByName(copies), texts_per_lang=20) == one and sorted(one) == ["en", "es"]
+    assert all(language_id.fit_dictionaries(rows, texts_per_lang=1e-9).values())
+
+
 def test_gif(docs):
     stored = gif.store_texts(docs)
     assert stored.count() == len(ROWS)
