@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -29,29 +30,43 @@ def exchange_ns(text: str) -> int:
     return (whole.days * 86400 + whole.seconds) * 10**9 + int((found[2] or "").ljust(9, "0"))
 
 
+#: The texts of what can fail; the value at fault follows where there is one.
+NO_OBJECT, NO_TIME, NO_NUMBER = "decode frame: no JSON object of the expected types", "parse time", "parse"
+
+
+def parsed(raw: bytes) -> tuple[bool, object]:
+    """(whether ``raw`` is JSON, its value). Bytes that are no UTF-8 are read as U+FFFD; too deep a nesting is no JSON."""
+
+    def refuse(word: str):
+        raise ValueError(word)
+
+    try:
+        return True, json.loads(raw.decode("utf-8", "replace"), parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return False, None
+
+
+def number(text: str) -> float:
+    """A decimal number; what is none, or larger than a double can hold, is refused."""
+    value = float(text) if FLOAT.match(text) else math.inf
+    if not math.isfinite(value):
+        raise ValueError(text)
+    return value
+
+
 def decode(raw: bytes) -> dict:
     """The fields of a frame. What fails ends decoding there, and what was read before it stays.
 
     A frame that is no JSON object of the right types has an empty type and an empty channel (not control).
     """
     out = {"type": "", "channel": "", "product": "", "side": "", "exch_ns": None, "seq": None, "price_text": "", "size_text": "", "price": 0.0, "size": 0.0, "decode_error": "", "error_text": ""}
-
-    def refuse(word: str):
-        raise ValueError(f"{word} is no JSON")
-
-    try:
-        body = json.loads(raw, parse_constant=refuse)
-        if body is not None and not isinstance(body, dict):
-            raise ValueError("the frame is no object")
-        fields = {k.lower(): v for k, v in (body or {}).items()}
-        for k in TEXTS:
-            if not isinstance(fields.get(k) or "", str) or fields.get(k) is False or fields.get(k) == 0:
-                raise ValueError(f"{k} is no string")
-        seq = fields.get("sequence")
-        if seq is not None and (type(seq) is not int or not 0 <= seq < 1 << 64):
-            raise ValueError("sequence is no unsigned number")
-    except ValueError as e:
-        return out | {"decode_error": f"decode frame: {e}"}
+    known, body = parsed(raw)
+    if not known or not (body is None or isinstance(body, dict)):
+        return out | {"decode_error": NO_OBJECT}
+    fields = {k.lower(): v for k, v in (body or {}).items()}
+    seq = fields.get("sequence")
+    if any(fields.get(k) is not None and not isinstance(fields[k], str) for k in TEXTS) or not (seq is None or type(seq) is int and 0 <= seq < 1 << 64):
+        return out | {"decode_error": NO_OBJECT}
     text = {k: fields.get(k) or "" for k in TEXTS}
     out |= {"type": text["type"], "channel": CHANNELS.get(text["type"], "control"), "product": text["product_id"], "side": text["side"], "seq": seq, "price_text": text["price"], "size_text": text["size"]}
     if text["type"] == "error":
@@ -60,24 +75,24 @@ def decode(raw: bytes) -> dict:
         if text["time"]:
             out["exch_ns"] = exchange_ns(text["time"])
     except ValueError:
-        return out | {"decode_error": f"parse time {text['time']!r}"}
+        return out | {"decode_error": f'{NO_TIME} "{text["time"]}"'}
     for k in ("price", "size"):
-        if text[k]:
-            if not FLOAT.match(text[k]):
-                return out | {"decode_error": f"parse {k} {text[k]!r}"}
-            out[k] = float(text[k])
+        try:
+            out[k] = number(text[k]) if text[k] else 0.0
+        except ValueError:
+            return out | {"decode_error": f'{NO_NUMBER} {k} "{text[k]}"'}
     return out
 
 
 def decoded(frames: DataFrame, raw: str = "raw") -> DataFrame:
-    """``frames`` with the decoded fields; Arrow batches, a row in for a row out."""
+    """``frames`` with the fields decoded from ``raw`` (binary or string; null counts as empty); a row in for a row out."""
     from decimal import Decimal
 
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [decode(bytes(x)) if x is not None else decode(b"") for x in pdf[raw]]
+            rows = [decode(x.encode() if isinstance(x, str) else bytes(x or b"")) for x in pdf[raw]]
             for n in names:
                 column = [r[n] for r in rows]
                 pdf[n] = pd.Series([None if v is None else Decimal(v) for v in column] if n == "seq" else column, index=pdf.index, dtype="Int64" if n == "exch_ns" else None)

@@ -18,6 +18,15 @@ def channel_of(kind: Column) -> Column:
     return F.coalesce(out, F.lit("control"))
 
 
+def is_control(kind: Column) -> Column:
+    """Frames of the protocol itself, those without a type among them."""
+    return F.coalesce(kind.isin(*CONTROL), F.lit(True))
+
+
+def is_error(kind: Column) -> Column:
+    return F.coalesce(kind == "error", F.lit(False))
+
+
 def decimal_units(text: Column) -> Column:
     """Digits of an exact decimal as a whole number; null where its text could not be given back as it is."""
     units = F.regexp_replace(text, r"\.", "").try_cast("long")

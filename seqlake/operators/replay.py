@@ -7,30 +7,28 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.operators.arrival import carried, indexed, running_count
+from seqlake.operators.arrival import indexed, running
 
 KEY = ["k_exch", "k_rank", "k_seq", "k_channel"]
 ORDER = [*KEY, "file_idx", "rec"]
 
 
-def pinned(records: DataFrame) -> DataFrame:
-    """Each record's order key: its own if it is a message with an exchange time, else that of the last such one in arrival order."""
-    own = F.when((F.col("kind") == "message") & F.col("exch_us").isNotNull(), F.struct(F.col("exch_us").alias("k_exch"), F.when(F.col("seq").isNull(), 0).otherwise(1).alias("k_rank"), F.coalesce("seq", F.lit(0)).cast("long").alias("k_seq"), F.col("channel").alias("k_channel")))
-    rows = carried(records, "__key", own)
-    zero = {"k_exch": F.lit(0).cast("long"), "k_rank": F.lit(0), "k_seq": F.lit(0).cast("long"), "k_channel": F.lit("")}
-    return rows.withColumns({k: F.coalesce(F.col(f"__key.{k}"), v) for k, v in zero.items()}).drop("__key")
-
+def annotated(records: DataFrame) -> DataFrame:
+    """The records with their order key, ``opening`` (a reseed that no message came before) and ``epoch`` (reseeds up to here).
 
-def opened(records: DataFrame) -> DataFrame:
-    """``opening``: a reseed that no message came before."""
-    rows = running_count(records, "__messages", F.col("kind") == "message", upto_here=False)
-    return rows.withColumn("opening", (F.col("kind") == "reseed") & (F.col("__messages") == 0)).drop("__messages")
+    The key is a record's own if it is a message with an exchange time, else that of the last such one in arrival order.
+    """
+    kind = F.col("kind")
+    own = F.when((kind == "message") & F.col("exch_us").isNotNull(), F.struct(F.col("exch_us").alias("k_exch"), F.when(F.col("seq").isNull(), 0).otherwise(1).alias("k_rank"), F.coalesce("seq", F.lit(0)).cast("long").alias("k_seq"), F.col("channel").alias("k_channel")))
+    rows = running(records, {"epoch": (kind == "reseed", True), "__messages": (kind == "message", False)}, {"__key": own})
+    zero = {"k_exch": F.lit(0).cast("long"), "k_rank": F.lit(0), "k_seq": F.lit(0).cast("long"), "k_channel": F.lit("")}
+    return rows.withColumns({k: F.coalesce(F.col(f"__key.{k}"), v) for k, v in zero.items()} | {"opening": (kind == "reseed") & (F.col("__messages") == 0)}).drop("__key", "__messages")
 
 
 def ordered(records: DataFrame) -> DataFrame:
     """The replay: every record with its key, ``opening``, ``i`` (place in the total order) and ``disc`` (a discontinuity)."""
-    rows = indexed(opened(pinned(records)), "i", ORDER)
-    return rows.withColumn("disc", (F.col("kind") == "gap") | ((F.col("kind") == "reseed") & ~F.col("opening")))
+    rows = annotated(records)
+    return indexed(rows.withColumn("disc", (F.col("kind") == "gap") | ((F.col("kind") == "reseed") & ~F.col("opening"))), "i", ORDER)
 
 
 def until_gap(replay: DataFrame) -> DataFrame:

@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from seqlake.operators.arrival import running_count
 
 
-def by_product():
-    return Window.partitionBy("product").orderBy("file_idx", "rec")
-
-
 def classified(records: DataFrame, mode: str) -> DataFrame:
     """Sequenced messages with ``anomaly`` (none, gap, regression, reconnect_gap, stale), ``expected`` and ``missing``.
 
     ``contiguous``: each number must follow the last; ``monotonic``: numbers must only grow. After a reseed a
-    product's next number may fall back (stale) or jump (reconnect gap).
+    product's next number may fall back (stale) or jump (reconnect gap). Frames that could not be decoded (``bad`` is not 0,
+    if there is such a column) are not looked at. Files are worked on side by side: one row for each file and product carries
+    the highest number and the last epoch over.
     """
     if mode not in ("contiguous", "monotonic"):
         raise ValueError(mode)
     rows = running_count(records, "epoch", F.col("kind") == "reseed").where("kind = 'message' and seq is not null")
-    rows = rows.withColumns({"hwm": F.max("seq").over(by_product().rowsBetween(Window.unboundedPreceding, -1)), "reseeded": F.col("epoch") != F.lag("epoch").over(by_product())})
+    if "bad" in records.columns:
+        rows = rows.where("bad = 0")
+    ends = rows.groupBy("file_idx", "product").agg(F.max("seq").alias("top"), F.max_by("epoch", "rec").alias("seen"))
+    earlier = Window.partitionBy("product").orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file_idx", "product", F.struct(F.max("top").over(earlier).alias("top"), F.last("seen").over(earlier).alias("seen")).alias("from"))
+    ends = ends.groupBy("file_idx").agg(F.map_from_entries(F.collect_list(F.struct("product", "from"))).alias("__from"))  # a file has few products
+    here = Window.partitionBy("file_idx", "product").orderBy("rec")
+    rows = rows.withColumns({"__hwm": F.max("seq").over(here.rowsBetween(Window.unboundedPreceding, -1)), "__seen": F.lag("epoch").over(here)})
+    before = F.col("__from")[F.col("product")]
+    rows = rows.join(ends, "file_idx").withColumns({"hwm": F.greatest("__hwm", before["top"]), "reseeded": F.col("epoch") != F.coalesce("__seen", before["seen"])}).drop("__from", "__hwm", "__seen")
     hwm, seq, reseeded = F.col("hwm"), F.col("seq"), F.col("reseeded")
     anomaly = (
         F.when(hwm.isNull(), "none").when(reseeded & (seq <= hwm), "stale").when(reseeded & (seq != hwm + 1), "reconnect_gap")

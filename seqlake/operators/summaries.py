@@ -41,19 +41,19 @@ def latency_quantiles(latencies: DataFrame, quantiles: tuple[float, ...]) -> Dat
 
 
 def interval_metrics(records: DataFrame, interval_us: int) -> DataFrame:
-    """Per interval, empty ones included: messages, rate, reseeds, and the lag's count, sum, least and most (null if not measured)."""
+    """Per interval, empty ones included: messages, rate, gaps, reseeds, and the lag's count, sum, least and most (null if not measured)."""
     slot = F.floor(F.col("recv_us") / interval_us).cast("long")
     lag = F.when(F.col("kind") == "message", F.abs(F.col("recv_us") - F.col("exch_us")))
-    found = records.groupBy(slot.alias("slot")).agg(count_if(F.col("kind") == "message").alias("messages"), count_if(F.col("kind") == "reseed").alias("reseeds"), F.count(lag).alias("lag_n"), F.sum(lag).alias("lag_sum"), F.min(lag).alias("lag_min"), F.max(lag).alias("lag_max"))
+    found = records.groupBy(slot.alias("slot")).agg(count_if(F.col("kind") == "message").alias("messages"), count_if(F.col("kind") == "gap").alias("gaps"), count_if(F.col("kind") == "reseed").alias("reseeds"), F.count(lag).alias("lag_n"), F.sum(lag).alias("lag_sum"), F.min(lag).alias("lag_min"), F.max(lag).alias("lag_max"))
     spine = records.agg(F.min(slot).alias("a"), F.max(slot).alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("slot"))
     filled = spine.join(found, "slot", "left")
-    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("messages", "reseeds", "lag_n")}
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("messages", "gaps", "reseeds", "lag_n")}
     return filled.withColumns(zero).withColumn("rate", F.col("messages") / F.lit(interval_us / US))
 
 
 def metric_datums(metrics: DataFrame) -> DataFrame:
     """One row for each named figure of an interval; a lag that was not measured has none, a true zero has one."""
-    rows = F.expr("stack(4, 'Messages', cast(messages as double), 'MessageRate', rate, 'Reseeds', cast(reseeds as double), 'LagMaximum', cast(lag_max as double)) as (name, value)")
+    rows = F.expr("stack(5, 'Messages', cast(messages as double), 'MessageRate', rate, 'SequenceGaps', cast(gaps as double), 'Reseeds', cast(reseeds as double), 'LagMaximum', cast(lag_max as double)) as (name, value)")
     return metrics.select("slot", rows).where("value is not null")
 
 

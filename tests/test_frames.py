@@ -5,16 +5,17 @@ from seqlake.operators.batches import batched, footers
 
 
 def test_decode_cases():
-    good = decode(b'{"type":"match","product_id":"B","sequence":7,"time":"2026-08-25T04:00:00.198335999Z","price":"80691.50","size":"1e-8","side":"buy"}')
-    assert (good["channel"], good["seq"], good["price_text"], good["size"], good["decode_error"]) == ("matches", 7, "80691.50", 1e-8, "")
-    assert good["exch_ns"] % 10**9 == 198335999
-    for bad in (b"", b"{", b'{"type":"match","price":1.5}', b'{"sequence":-1}', b'{"sequence":"7"}', b'{"x":NaN}', b"\xff"):
+    good = decode(b'{"type":"match","product_id":"XY","sequence":31,"time":"2031-02-03T04:05:06.000070809Z","price":"17.250","size":"4e-3","side":"sell"}')
+    assert (good["channel"], good["seq"], good["price_text"], good["size"], good["decode_error"]) == ("matches", 31, "17.250", 0.004, "")
+    assert good["exch_ns"] % 10**9 == 70809
+    for bad in (b"", b"{", b'{"type":"match","price":3}', b'{"sequence":-4}', b'{"sequence":"4"}', b'{"x":NaN}', b"\xfe", b"[" * 200000, b'{"type":false}', "{}".encode("utf-16")):
         assert decode(bad)["decode_error"] and decode(bad)["channel"] == ""
-    late = decode(b'{"type":"match","sequence":7,"time":"yesterday","price":"1"}')
-    assert late["decode_error"] and late["seq"] == 7 and late["exch_ns"] is None and late["price"] == 0.0
-    priced = decode(b'{"type":"match","time":"2026-08-25T04:00:00Z","price":"nope","size":"2"}')
-    assert priced["decode_error"] and priced["exch_ns"] is not None and priced["size"] == 0.0
-    assert decode(b'{"type":"error","message":"no","reason":"such"}')["error_text"] == "no: such"
+    late = decode(b'{"type":"match","sequence":4,"time":"noon","price":"2"}')
+    assert late["decode_error"] and late["seq"] == 4 and late["exch_ns"] is None and late["price"] == 0.0
+    for price in ("dear", "3e999", "inf", "nan", "1_0", "0x1p2"):
+        priced = decode(b'{"type":"match","time":"2031-02-03T04:05:06Z","price":"%s","size":"2"}' % price.encode())
+        assert priced["decode_error"] and priced["exch_ns"] is not None and priced["size"] == priced["price"] == 0.0
+    assert decode(b'{"TYPE":"error","message":"closed","reason":"late"}')["error_text"] == "closed: late"
 
 
 def test_decoded_rows(spark):
