@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,30 @@ def test_nearest(spark):
     assert hnsw.search_all(vectors.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_nearest_of_several_shards_against_brute_force(spark):
+    """The query's own table, dealt to many shards, with columns of clashing names and a repeated row and id."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").withColumns({c: F.lit("clash") for c in ("id", "dim", "v", "shard", "row", "block")})
+    first = rows.where("embedding is not null").orderBy("vec_id").limit(1)
+    rows = rows.unionByName(first).unionByName(first.withColumn("embedding", F.array(*[F.lit(1.0)] * len(first.first()["embedding"]))))
+    found = hnsw.search_all(rows, lambda i: i % 20 == 0, shard=60).collect()
+    table = [(r.vec_id, np.array(r.embedding, float)) for r in rows.collect() if r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    ids, v = np.array([i for i, _ in table]), np.array([x for _, x in table])
+    asked = {}
+    for i, x in table:
+        if i % 20 == 0:
+            asked[i] = min(asked.get(i, x), x, key=tuple)
+    assert {r.query_id for r in found} == set(asked)
+    hit = 0
+    for q, x in asked.items():
+        dist = np.sqrt(((v - x) ** 2).sum(1))
+        want = sorted((d, i) for d, i in zip(dist.tolist(), ids.tolist(), strict=True) if i != q)[:10]
+        got = sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [r for r, _, _ in got] == list(range(1, 11)) and [s for _, _, s in got] == sorted(s for _, _, s in got)
+        assert all(abs(s - dist[ids == i].min()) < 1e-9 or len(dist[ids == i]) > 1 for _, i, s in got)
+        hit += len({i for _, i, _ in got} & {i for _, i in want})
+    assert hit >= 0.9 * 10 * len(asked)
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.example.com/en/a?x", '<a href="https://bad.net/q">'), (2, "https://example.com/en/", None), (3, None, None), (4, "no scheme", ""), (5, "http://a.net/fr/x", ""), (6, "http://a.net/de/x", ""), (7, "http://example.com", "")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -112,16 +112,20 @@ def test_links_are_found_with_few_verifications():
     assert prefix_size(0, 80) == 0 and len(words.shingles("", 3)) == 0 and len(words.shingles("One", 3)) == 1
 
 
-def test_graph_recall():
+@pytest.mark.parametrize("clustered", [False, True])
+def test_graph_recall(clustered):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(1500, 16))
+    if clustered:
+        v = v * 0.01 + rng.normal(size=(20, 16))[rng.integers(0, 20, 1500)]
     g = hnsw.build(v)
     graph, hit = hnsw.Graph(v, g["level"], g["neighbours"]), 0
-    for q in v[:50]:
+    assert len(g["neighbours"]) == sum((hnsw.LINKS if k else hnsw.LINKS0) * int((g["level"] >= k).sum()) for k in range(g["level"].max() + 1))
+    for q, nodes in zip(v[:50], graph.search(v[:50], hnsw.SEARCH)[0], strict=True):
         want = set(np.argsort(((v - q) ** 2).sum(1), kind="stable")[:10].tolist())
-        hit += len(want & set(graph.search(q, hnsw.SEARCH)[0][:10].tolist()))
+        hit += len(want & set(nodes[:10].tolist()))
     assert hit >= 0.95 * 500
-    assert len(hnsw.Graph(np.zeros((0, 4)), np.zeros(0, np.int32), np.zeros(0, np.int32)).search(np.zeros(4), 5)[0]) == 0
+    assert (hnsw.Graph(np.zeros((0, 4)), np.zeros(0, np.int32), np.zeros(0, np.int32)).search(np.zeros((1, 4)), 5)[0] < 0).all()
 
 
 def test_positive_unlabelled_learning():
