@@ -5,7 +5,8 @@ Every such string holds an anchor: the place of the least hash among its ``KGRAM
 anchors, so only what surrounds an anchor whose window occurs again can be duplicated. Anchors are counted in Spark with the
 hash of their surroundings; where all surroundings of an anchor are equal, every string through it is duplicated. The others'
 surroundings meet by anchor in blocks, and each block is settled by its suffix array: two-stage sorting, then the common
-prefixes of adjacent suffixes.
+prefixes of adjacent suffixes. Anchors with more surroundings than a block takes are told apart by more of the bytes around
+them, again and again, until each part fits: every string goes through a suffix array, however often its passage occurs.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import arrow_schema, column, cut
+from seqlake.llm.common import arrow_schema, column, cut, drop, forget, map_batches
 
 KGRAM = 24
-#: Bytes of surroundings that a block takes; an anchor with more goes another, exact way.
+#: Bytes of surroundings that a block takes; an anchor with more is split by the bytes around it.
 BLOCK = 1 << 20
 #: Odd multipliers of the rolling and mixing hashes (fixed values).
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -206,14 +207,14 @@ def least_in_windows(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(parts: list[bytes], length: int, k: int = KGRAM) -> tuple[np.ndarray, ...]:
-    """(part, from, to, hash of the anchor, hash of its surroundings) of every anchor of some byte strings.
+    """(part, from, to, place, hash of the anchor, hash of its surroundings) of every anchor of some byte strings, 64 MiB at most.
 
     The surroundings are the bytes of the strings whose anchor it is; these start at one place after another.
     """
     long = [i for i, p in enumerate(parts) if len(p) >= length]
     none = np.zeros(0, np.int64)
     if not long:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     s = np.frombuffer(b"".join(parts[i] for i in long), np.uint8)
     size = np.array([len(parts[i]) for i in long], np.int64)
     end = np.cumsum(size)
@@ -232,7 +233,7 @@ def anchors(parts: list[bytes], length: int, k: int = KGRAM) -> tuple[np.ndarray
     part = np.searchsorted(end, place, side="right")
     around = window_hash(sums, lo, hi) + ((place - lo) * 1024 + (hi - place)).astype(np.uint64) * MIX
     origin = end[part] - size[part]
-    return np.asarray(long)[part], lo - origin, hi - origin, gram[place].view(np.int64), around.view(np.int64)
+    return np.asarray(long)[part], lo - origin, hi - origin, place - origin, gram[place].view(np.int64), around.view(np.int64)
 
 
 # ---------------------------------------------------------------- Spark
@@ -256,19 +257,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-CHUNK = 1 << 18
+CHUNK, PIECE = 1 << 18, 1 << 20
 
 
-def _chunks(data: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of up to 256 KB together (a longer text alone), with the index of the first."""
-    first, size = 0, 0
+def _chunks(data: list[bytes], length: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(index of the text, offset in it, bytes) of runs of up to 256 KB together.
+
+    Longer texts are cut into pieces of ``piece`` bytes that overlap by ``length`` - 1 bytes: each string of ``length`` bytes starts in one.
+    """
+    rows, offsets, parts, size = [], [], [], 0
     for i, x in enumerate(data):
-        if size and size + len(x) > CHUNK:
-            yield first, data[first:i]
-            first, size = i, 0
-        size += len(x)
-    if data:
-        yield first, data[first:]
+        for at in range(0, max(len(x) - length + 1, 1), piece):
+            part = x[at : at + piece + length - 1]
+            if size and size + len(part) > CHUNK:
+                yield np.array(rows), np.array(offsets), parts
+                rows, offsets, parts, size = [], [], [], 0
+            rows.append(i)
+            offsets.append(at)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield np.array(rows), np.array(offsets), parts
 
 
 def _map(df: DataFrame, run, ddl: str, more: list[T.StructField] | None = None) -> DataFrame:
@@ -280,12 +289,75 @@ def _map(df: DataFrame, run, ddl: str, more: list[T.StructField] | None = None)
             for cols in run(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(batches, struct)
+    return map_batches(df, batches, struct)
+
+
+def settled_runs(regions: DataFrame, length: int, block: int) -> DataFrame:
+    """``h, around, from, to``: the bytes of each region (``h, around, n, at, region, size``) that duplicated strings cover.
+
+    Regions meet by their anchor ``h`` in blocks, which suffix arrays settle; a region that stands at ``n`` > 1 places is
+    duplicated as a whole. An anchor with more than ``block`` bytes of regions is split first.
+    """
+    per_anchor = regions.groupBy("h").agg(F.sum("size").alias("bytes"))
+    wide = per_anchor.where(F.col("bytes") > block).select("h")
+    total = per_anchor.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    narrow = regions.join(wide, "h", "left_anti").select(F.col("h").alias("g"), F.col("around").alias("r"), "n", "region")
+    split = split_regions(regions.join(wide, "h", "left_semi"), length, block)
+    if split is not None:
+        narrow = narrow.unionByName(split.groupBy("g", "r").agg(F.sum("n").alias("n"), F.first("region").alias("region")))
+    dealt = narrow.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(max(1, int(total) // block + 1))))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
+        pdf = pdf.sort_values(["g", "r"])
+        found, data = [], pdf["region"].tolist()
+        for starts, region, n in zip(repeated_starts(data, length), data, pdf["n"], strict=True):
+            runs = [(0, len(region))] if n > 1 else covered(starts, length)
+            found.append([{"from": a, "to": b} for a, b in runs])
+        return pd.DataFrame({"g": pdf["g"], "r": pdf["r"], "runs": found})
+
+    settled = dealt.groupBy("block").applyInPandas(settle, "g long, r long, runs array<struct<from:int,to:int>>")
+    settled = settled.select("g", "r", F.explode("runs").alias("run")).select("g", "r", "run.from", "run.to")
+    if split is None:
+        return settled.withColumnsRenamed({"g": "h", "r": "around"})
+    settled = cut(settled, "settled")
+    whole = settled.join(wide, settled["g"] == wide["h"], "left_anti").withColumnsRenamed({"g": "h", "r": "around"})
+    return whole.unionByName(settled.join(split.drop("n", "region"), ["g", "r"]).select("h", "around", (F.col("from") + F.col("shift")).cast("int").alias("from"), (F.col("to") + F.col("shift")).cast("int").alias("to")))
 
 
+def split_regions(regions: DataFrame, length: int, block: int) -> DataFrame | None:
+    """``h, around, shift, g, r, n, region``: parts of the regions, from byte ``shift`` on, that meet by ``g`` in groups that fit; None if there are none.
 
-def duplicate_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
-    """``id, t, text, marks, more``: each row's duplicated byte runs as sorted, disjoint ``struct<start:int,end:int>``.
+    Strings that are equal have their anchor at the same byte. Those that have it at bytes ``a`` to ``b`` share the bytes
+    around it which all of them reach, so strings of ``a`` to ``b`` can only equal strings with the same such core. A group
+    that is too large is halved, ``a`` to the middle and from there to ``b``: its cores grow until a group is one string.
+    """
+    todo = cut(regions.select("h", "around", F.lit(0).alias("shift"), "n", "at", "region", F.col("h").alias("g"), F.lit(0).alias("a"), F.lit(length - KGRAM).alias("b"), F.col("around").alias("r")), "split")
+    done: list[DataFrame] = []
+    names = ["h", "around", "shift", "g", "r", "n", "region"]
+    while todo.limit(1).count():
+        middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))).alias("half")
+        a, b, at = F.col("half.a"), F.col("half.b"), F.col("at")
+        lo, hi = F.greatest(at - b, F.lit(0)), F.least(at - a + length, F.octet_length("region"))
+        parts = todo.select("*", halves).where((a <= b) & (hi - lo >= length))
+        core, own = F.substring("region", at - a + 1, length - (b - a)), F.substring("region", lo + 1, hi - lo)
+        parts = parts.select("h", "around", (F.col("shift") + lo).alias("shift"), "n", (at - lo).alias("at"), own.alias("region"), F.xxhash64("g", a, core).alias("g"), a.alias("a"), b.alias("b"), F.xxhash64(at - lo, own).alias("r"))
+        parts = cut(parts, "split")
+        sizes = parts.groupBy("g", "r", "a", "b").agg(F.first(F.octet_length("region")).alias("size")).groupBy("g", "a", "b").agg(F.sum("size").alias("bytes"))
+        wide = sizes.where((F.col("bytes") > block) & (F.col("a") < F.col("b"))).select("g")
+        done.append(parts.join(wide, "g", "left_anti").select(*names))
+        todo = cut(parts.join(wide, "g", "left_semi"), "split")
+    if not done:
+        return None
+    found = done[0]
+    for x in done[1:]:
+        found = found.unionByName(x)
+    return cut(found, "parts")
+
+
+def duplicate_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, piece: int = PIECE, keep: list[str] | None = None) -> DataFrame:
+    """``id, t, text, marks, more``: each row's duplicated byte runs as sorted, disjoint ``struct<start:bigint,end:bigint>``.
 
     ``id`` is the row's id and ``t`` a hash of its text. Rows that repeat are texts of their own, so their whole text is
     duplicated if it has ``length`` bytes. Null texts count as empty. ``more`` holds the row's columns ``keep``, if asked for.
@@ -299,59 +371,39 @@ def duplicate_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id
     def find(batch: pa.RecordBatch) -> Iterator[dict]:
         data = [x.encode() for x in column(batch, "text").to_pylist()]
         k, t = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("k", "t"))
-        for first, part in _chunks(data):
-            i, lo, hi, h, around = anchors(part, length)
-            yield {"k": k[first + i], "t": t[first + i], "lo": lo, "hi": hi, "h": h, "around": around}
+        for rows, offsets, parts in _chunks(data, length, piece):
+            i, lo, hi, place, h, around = anchors(parts, length)
+            yield {"k": k[rows[i]], "t": t[rows[i]], "lo": lo + offsets[i], "hi": hi + offsets[i], "at": place - lo, "h": h, "around": around}
 
-    places = cut(_map(keyed, find, "k long, t long, lo int, hi int, h long, around long"), "anchors")
+    places = cut(_map(keyed, find, "k long, t long, lo long, hi long, at int, h long, around long"), "anchors")
     again = cut(places.groupBy("h").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1").select("h", F.expr("a <> b").alias("mixed")), "again")
     met = cut(places.join(again, "h"), "met")
+    drop(places, again)
     sure = met.where("not mixed").select("k", "t", "lo", "hi")
 
-    flagged = met.where("mixed").groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi", "h", "around")).alias("at"))
+    flagged = met.where("mixed").groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi", "at", "h", "around")).alias("found"))
     with_text = keyed.join(flagged, ["k", "t"])
 
     def surroundings(batch: pa.RecordBatch) -> Iterator[dict]:
-        out: dict = {"h": [], "around": [], "region": []}
-        for x, at in zip(column(batch, "text").to_pylist(), column(batch, "at").to_pylist(), strict=True):
+        out: dict = {"h": [], "around": [], "at": [], "region": []}
+        for x, found in zip(column(batch, "text").to_pylist(), column(batch, "found").to_pylist(), strict=True):
             data = x.encode()
-            for one in at:
-                for name, v in zip(out, (one["h"], one["around"], data[one["lo"] : one["hi"]]), strict=True):
+            for one in found:
+                for name, v in zip(out, (one["h"], one["around"], one["at"], data[one["lo"] : one["hi"]]), strict=True):
                     out[name].append(v)
         yield out
 
-    regions = _map(with_text, surroundings, "h long, around long, region binary")
-    regions = cut(regions.groupBy("h", "around").agg(F.count("*").alias("n"), F.first("region").alias("region")), "regions")
-    per_anchor = regions.groupBy("h").agg(F.sum(F.octet_length("region")).alias("bytes"))
-    wide = per_anchor.where(F.col("bytes") > block).select("h")
-    total = per_anchor.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    n_blocks = max(1, int(total) // block + 1)
-    narrow = regions.join(wide, "h", "left_anti").withColumn("block", F.pmod(F.xxhash64("h"), F.lit(n_blocks)))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "around"])
-        found, data = [], pdf["region"].tolist()
-        for starts, region, n in zip(repeated_starts(data, length), data, pdf["n"], strict=True):
-            runs = [(0, len(region))] if n > 1 else covered(starts, length)
-            found.append([{"from": a, "to": b} for a, b in runs])
-        return pd.DataFrame({"h": pdf["h"], "around": pdf["around"], "runs": found})
-
-    settled = narrow.groupBy("block").applyInPandas(settle, "h long, around long, runs array<struct<from:int,to:int>>")
-    runs = settled.select("h", "around", F.explode("runs").alias("r")).select("h", "around", "r.from", "r.to")
-    # An anchor with very many different surroundings is settled by its strings' hashes, summed before they are shuffled.
-    strings = regions.join(wide, "h").select("h", "around", "n", "region", F.explode(F.sequence(F.lit(0), F.octet_length("region") - length)).alias("from"))
-    bytes_at = F.substring("region", F.col("from") + 1, F.lit(length))
-    strings = strings.select("h", "around", "from", "n", F.xxhash64(bytes_at).alias("s1"), F.xxhash64(F.lit(1), bytes_at).alias("s2"))
-    twice = strings.groupBy("h", "s1", "s2").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
-    more = strings.join(twice, ["h", "s1", "s2"]).select("h", "around", "from", (F.col("from") + length).alias("to"))
-    runs = cut(runs.unionByName(more), "runs")
+    regions = _map(with_text, surroundings, "h long, around long, at int, region binary")
+    regions = cut(regions.groupBy("h", "around").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("region").alias("region")).withColumn("size", F.octet_length("region")), "regions")
+    runs = cut(settled_runs(regions, length, block), "runs")
+    drop(regions)
     settled_marks = met.where("mixed").join(runs, ["h", "around"]).select("k", "t", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     marks = sure.unionByName(settled_marks).groupBy("k", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
     joined = rows.withColumn("k", F.coalesce(F.col("id").cast("long"), F.lit(-1))).join(marks, ["k", "t"], "left")
-    return joined.select("id", "t", "text", F.coalesce("marks", F.array().cast("array<struct<lo:int,hi:int>>")).alias("marks"), *(["more"] if keep else []))
+    return joined.select("id", "t", "text", F.coalesce("marks", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("marks"), *(["more"] if keep else []))
 
 
-def remove_duplicates(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
+def remove_duplicates(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, piece: int = PIECE, keep: list[str] | None = None) -> DataFrame:
     """``id_col, n_bytes, spans, kept`` and the columns ``keep`` for each row of ``docs``: its duplicated byte runs, and the bytes outside them.
 
     A byte goes if a string of ``length`` bytes over it also starts at another place of any text, its own included; strings
@@ -372,5 +424,5 @@ def remove_duplicates(docs: DataFrame, *, length: int = 200, id_col: str = "doc_
         more = column(batch, "more") if keep else None
         yield {id_col: column(batch, "id"), "n_bytes": sizes, "spans": spans, "kept": kept} | {c: more.field(c) for c in keep or ()}
 
-    found = duplicate_spans(docs, length=length, id_col=id_col, text=text, block=block, keep=keep)
-    return _map(found, apply, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary", [docs.schema[c] for c in keep or ()])
+    found = duplicate_spans(docs, length=length, id_col=id_col, text=text, block=block, piece=piece, keep=keep)
+    return _map(found, apply, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary", [docs.schema[c] for c in keep or ()])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -100,12 +101,28 @@ def test_suffix_dedup(docs):
                 gone += a + 200 - max(a, upto)
                 upto = a + 200
         want.append((i or 0, len(data), gone))
-    for block in (suffix_array.BLOCK, 1):  # with the smallest block every anchor goes the way of the wide ones
+    for block in (suffix_array.BLOCK, 3000, 1):  # with the smallest block every anchor is split until its groups are one string
         got = suffix_array.remove_duplicates(docs, block=block).collect()
         assert sorted((r.doc_id or 0, r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in got) == sorted(want)
     assert suffix_array.remove_duplicates(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_many_variants(spark):
+    """A passage in many surroundings, copies, overlapping repeats, and a long text in pieces, against brute force at every block size."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, long = noise(260), noise(5000)
+    texts = [noise(rng.randrange(0, 120)) + passage[rng.randrange(0, 30) : 260 - rng.randrange(0, 30)] + noise(rng.randrange(0, 150)) for _ in range(25)]
+    texts += [long, long[1234:2500] + noise(50), "ab" * 400, texts[0], texts[0], "é" * 150, "x" + "é" * 150]
+    count = Counter(x.encode()[i : i + 200] for x in texts for i in range(len(x.encode()) - 199))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    for block in (suffix_array.BLOCK, 3000, 1):
+        for r in suffix_array.remove_duplicates(rows, block=block, piece=700).collect():
+            data = texts[r.doc_id].encode()
+            gone = {j for i in range(len(data) - 199) if count[data[i : i + 200]] > 1 for j in range(i, i + 200)}
+            assert bytes(r.kept) == bytes(x for j, x in enumerate(data) if j not in gone), (block, r.doc_id)
+
+
 def test_packing(docs):
     got = packing.pack(docs, P.path("word_bpe_49k.json")).orderBy("sequence_id", "offset").collect()
     at = Counter()
