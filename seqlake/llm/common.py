@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,11 +34,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no work done before."""
-    path = f"{shared_dir(df.sparkSession)}/seqlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of an Arrow batch: long texts must not add up to what a worker can't hold.
+BATCH_BYTES = 16 << 20
+_LEFT: dict[str, SparkSession] = {}
+
+
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no work done before.
+
+    Tables stay until ``drop`` or the driver's end.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/seqlake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression=compression)
+    if not _LEFT:
+        atexit.register(_drop_all)
+    _LEFT[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._seqlake_path = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written cuts that nothing reads any more."""
+    for df in tables:
+        _delete(getattr(df, "_seqlake_path", ""))
+
+
+def _delete(path: str) -> None:
+    spark = _LEFT.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_all() -> None:
+    for path in list(_LEFT):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -48,8 +85,8 @@ def crc32_mod(id_col: str, n: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)
 
 
-def map_rows(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` for a function from a batch to columns (name to list or array)."""
+def map_rows(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict], schema: T.StructType | str, key: str = "") -> DataFrame:
+    """``mapInArrow`` for a function from a batch to columns (name to list or array); ``key`` names what it keeps in workers."""
     struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = arrow_schema(struct)
 
@@ -58,7 +95,21 @@ def map_rows(df: DataFrame, per_batch: Callable[[pa.RecordBatch], dict], schema:
             cols = per_batch(batch)
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    return map_batches(df, run, struct, key)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, key: str = "") -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes; a task gives back what other operators kept in its worker, and its own scratch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(key)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(task, schema)
 
 
 def arrow_schema(struct: T.StructType) -> pa.Schema:
@@ -80,9 +131,23 @@ _KEPT: dict[str, object] = {}
 
 
 def kept(key: str, make: Callable[[], object]) -> object:
-    """What ``make`` returns, made once per Python worker for ``key``; the latest four keys stay."""
+    """What ``make`` returns, made once per Python worker for ``key``; only the latest key stays."""
     if key not in _KEPT:
-        while len(_KEPT) >= 4:
-            _KEPT.pop(next(iter(_KEPT)))
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def forget(key: str = "") -> None:
+    """Drop what the worker keeps for other keys."""
+    if _KEPT and key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the machine: an idle worker would hold it beside the next operator's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)

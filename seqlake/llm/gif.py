@@ -13,8 +13,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from seqlake.llm.common import column, map_rows
+from seqlake.llm.common import column, cut, drop, map_rows
 
 WIDTH, HEIGHT, BLOCK = 24, 24, 576
 #: Blocks of 24 x 24 samples that stand above one another in a frame, and a frame's time in hundredths of a second.
@@ -257,23 +258,40 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
     return map_rows(docs.select(id_col, text), per_batch, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-FRAMES = "array<struct<left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,rgb:binary,histogram:array<int>>>"
+#: A frame as shown: the whole canvas, row by row, with one channel if it is grey and three else; ``shown`` has a byte for each
+#: pixel, 0 where it is transparent, and is null where none is. The rectangle is what the frame drew.
+FRAMES = "array<struct<left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,canvas_width:int,canvas_height:int,channels:int,pixels:binary,shown:binary,colour_sums:array<bigint>,histogram:array<int>>>"
 
 
-def read_frames(media: DataFrame, *, id_col: str = "doc_id", column_name: str = "media") -> DataFrame:
-    """``id_col, frames``: the timed frames of each GIF as shown (canvas pixels, histogram); null for null or broken media."""
+def frame_columns(f: Frame) -> dict:
+    grey = bool((f.rgb[..., 0] == f.rgb[..., 1]).all() and (f.rgb[..., 1] == f.rgb[..., 2]).all())
+    pixels = f.rgb[..., 0] if grey else f.rgb
+    seen = f.rgb[f.shown]
+    return {k: getattr(f, k) for k in ("left", "top", "width", "height", "delay_ms", "disposal")} | {
+        "canvas_width": f.rgb.shape[1], "canvas_height": f.rgb.shape[0], "channels": 1 if grey else 3, "pixels": pixels.tobytes(),
+        "shown": None if f.shown.all() else f.shown.tobytes(), "colour_sums": seen.sum(0, dtype=np.int64).tolist(), "histogram": f.histogram().tolist(),
+    }
+
+
+def read_frames(media: DataFrame, *, id_col: str = "doc_id", column_name: str = "media", keep: list[str] | None = None) -> DataFrame:
+    """``id_col``, the columns ``keep`` and ``frames``: the timed frames of each GIF as shown, each with its colour sums and histogram.
+
+    Null or broken media have null frames. Repeated rows repeat; an empty table gives none.
+    """
 
     def frames(data: bytes | None) -> list[dict] | None:
         try:
-            shown = decode_gif(data) if data else None
+            return [frame_columns(f) for f in decode_gif(data)] if data else None
         except (ValueError, IndexError, struct.error):
             return None
-        return shown and [{k: getattr(f, k) for k in ("left", "top", "width", "height", "delay_ms", "disposal")} | {"rgb": f.rgb.tobytes(), "histogram": f.histogram().tolist()} for f in shown]
+
+    names = [id_col, *(keep or [])]
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        return {id_col: column(batch, id_col), "frames": [frames(x) for x in column(batch, column_name).to_pylist()]}
+        return {c: column(batch, c) for c in names} | {"frames": [frames(x) for x in column(batch, column_name).to_pylist()]}
 
-    return map_rows(media.select(id_col, column_name), per_batch, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, frames {FRAMES}")
+    own = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in names)
+    return map_rows(media.select(*names, column_name), per_batch, f"{own}, frames {FRAMES}")
 
 
 def read_payload(frames: list[Frame]) -> bytes:
@@ -281,29 +299,34 @@ def read_payload(frames: list[Frame]) -> bytes:
     return b"".join(f.drawn()[:, :, 0].tobytes() for f in frames)
 
 
-def feature(frames: list[Frame]) -> str:
-    """Frames, time, mean grey and the share of each sixteenth of the grey scale (per mille) over all drawn pixels."""
-    grey = np.concatenate([f.drawn().reshape(-1, 3) for f in frames]) @ np.array([299, 587, 114]) // 1000
-    share = np.bincount(grey >> 4, minlength=16) * 1000 // len(grey)
-    colours = sum(f.histogram() for f in frames)
-    return f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};mean={grey.mean():.3f};grey={','.join(map(str, share))};bins={int((colours > 0).sum())}"
+#: The grey samples that frames of full width drew, one frame after another.
+PAYLOAD = "unhex(array_join(transform(frames, f -> hex(substring(f.pixels, f.top * f.canvas_width + 1, f.width * f.height))), ''))"
+#: Number of frames, their time, the mean of each channel, and the share of each bin of the colour histogram that has any (per mille).
+FEATURE = """concat('frames=', n, ';ms=', ms, ';mean=', array_join(transform(sums, x -> format_string('%.3f', x / total)), ','),
+ ';bins=', array_join(transform(filter(sequence(0, size(bins) - 1), i -> bins[i] > 0), i -> concat(i, ':', bins[i] * 1000 div total)), ','))"""
 
 
 def digest_media(stored: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The stored bytes of ``store_texts`` read back and summed up: payload, media and feature columns."""
-    import hashlib
-    import zlib
+    """``id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` of what ``store_texts`` and ``read_frames`` made.
 
-    def one(data: bytes) -> tuple:
-        frames = decode_gif(data)
-        payload = read_payload(frames)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(frames)
-
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-
-    def per_batch(batch: pa.RecordBatch) -> dict:
-        found = [one(x) for x in column(batch, "media").to_pylist()]
-        return {id_col: column(batch, id_col), "n_bytes": column(batch, "n_bytes")} | {n: [r[i] for r in found] for i, n in enumerate(names)}
-
-    kind = stored.schema[id_col].dataType.simpleString()
-    return map_rows(stored.select(id_col, "n_bytes", "media"), per_batch, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    Everything comes from the stored columns, in SQL: ``n_bytes``, ``media_bytes``, ``media_sha256`` and ``frames``, whose
+    frames have the canvas's full width.
+    """
+    added = lambda field, zero: f"aggregate(frames, {zero}, (a, f) -> zip_with(a, f.{field}, (x, y) -> x + y))"
+    rows = stored.withColumns({
+        "payload": F.expr(PAYLOAD), "n": F.size("frames"), "ms": F.expr("aggregate(frames, 0, (a, f) -> a + f.delay_ms)"),
+        "sums": F.expr(added("colour_sums", "array(0L, 0L, 0L)")), "bins": F.expr(added("histogram", f"array_repeat(0L, {LEVELS**3})")),
+    }).withColumn("total", F.expr("greatest(aggregate(bins, 0L, (a, x) -> a + x), 1L)"))
+    return rows.select(
+        id_col, "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        "media_bytes", "media_sha256", F.expr(FEATURE).alias("feature"),
+    )
+
+
+def store_and_digest(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``digest_media`` of texts whose GIFs, and then the timed frames read from them, are written as tables."""
+    media = cut(store_texts(docs, id_col=id_col, text=text), "media")
+    summed = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    frames = cut(read_frames(summed, id_col=id_col, keep=["n_bytes", "media_bytes", "media_sha256"]), "frames", compression="zstd")
+    drop(media)
+    return digest_media(frames, id_col=id_col)

@@ -122,4 +122,4 @@ def identify(docs: DataFrame, train: Column, *, text: str = "text", lang: str =
     source = docs.select(*dict.fromkeys([*keep, text]))
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return map_rows(source, per_batch, schema)
+    return map_rows(source, per_batch, schema, key)

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import arrow_schema, column, cut, kept, map_rows, texts
+from seqlake.llm.common import arrow_schema, column, cut, forget, kept, map_batches, map_rows, texts, trim
 from seqlake.llm.graph import components
 
 #: Counters of the sketch, n-grams of a block, words that a worker keeps, and rows up to which a table is broadcast.
-COUNTERS, BLOCK, CACHED, SMALL = 1 << 18, 1_000_000, 400_000, 200_000
+COUNTERS, BLOCK, CACHED, SMALL = 1 << 18, 500_000, 150_000, 200_000
 #: Rows of a meeting partition, and parts of a token that the sketch counts among the heaviest.
-MEETING, SALTS = 2_000_000, 64
+MEETING, SALTS = 1_000_000, 64
 #: Odd multipliers (fixed values of a common 64-bit hash).
 MULTIPLIERS = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -112,7 +112,7 @@ def shingle_rows(keyed: DataFrame, n: int) -> DataFrame:
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), none, pa.array(counts[at]), none, none], schema=schema)
 
-    return keyed.mapInArrow(run, "kind int, id long, t long, size long, d1 long, d2 long")
+    return map_batches(keyed, run, "kind int, id long, t long, size long, d1 long, d2 long", key)
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -148,6 +148,29 @@ def linked_edges(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, pe
     return links_among(sets, side, percent, sketch, len(set(side.tolist())) > 1, np.ones(len(sets), np.int64))[0]
 
 
+class Postings:
+    """Which sets have which tokens in their prefixes under one order, as flat arrays."""
+
+    def __init__(self, prefixes: list[np.ndarray], tokens: int):
+        token = np.concatenate(prefixes)
+        by = np.argsort(token, kind="stable")  # sets come in ascending order, so those of a token do
+        self.sets = np.repeat(np.arange(len(prefixes), dtype=np.int32), [len(p) for p in prefixes])[by]
+        self.first = np.searchsorted(token[by], np.arange(tokens)).astype(np.int64)[token]
+        self.own = np.empty(len(by), np.int64)
+        self.own[by] = np.arange(len(by))
+        self.end = np.cumsum([len(p) for p in prefixes])
+
+    def before(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """From where to where the sets before ``r`` stand, for each of its prefix tokens that any of them has."""
+        at = slice(self.end[r - 1] if r else 0, self.end[r])
+        first, own = self.first[at], self.own[at]
+        some = own > first
+        return first[some], own[some]
+
+    def met(self, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.sets[a:b] for a, b in zip(first.tolist(), own.tolist(), strict=True)]) if len(first) else self.sets[:0]
+
+
 def links_among(sets: list[np.ndarray], side: np.ndarray, percent: int, sketch: np.ndarray, across: bool, rows: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(pairs of indexes that connect what links among ``sets``, the ``rows`` of all sets that each one links with).
 
@@ -160,36 +183,40 @@ def links_among(sets: list[np.ndarray], side: np.ndarray, percent: int, sketch:
     size = np.array([len(sets[i]) for i in order], np.int64)
     end = np.cumsum(size)
     numbers = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1].astype(np.int32)
-    mark, component, sides = np.zeros(numbers.max(initial=0) + 1, np.uint8), np.arange(len(sets)), np.asarray(side)[order]
-    orders = (lambda s: rare_first(s, sketch), lambda s: s[np.argsort(scramble(s, 2))], lambda s: s[np.argsort(scramble(s, 3))])
-    postings: list[dict[int, list[int]]] = [{} for _ in orders]
+    tokens = int(numbers.max(initial=-1)) + 1
+    mark, component, sides = np.zeros(tokens, np.uint8), np.arange(len(sets)), np.asarray(side)[order]
+    keys = (lambda s: sketch[s % np.uint64(len(sketch))], lambda s: scramble(s, 2), lambda s: scramble(s, 3))
+    first_of = lambda key, r: numbers[end[r] - size[r] : end[r]][np.argsort(key(sets[order[r]]), kind="stable")[: prefix_size(int(size[r]), percent)]]
+    postings = [Postings([first_of(key, r) for r in range(len(sets))], tokens) for key in keys]
+    seen = np.zeros(len(sets), bool)
     for r, i in enumerate(order.tolist()):
-        s, p, found = sets[i], prefix_size(len(sets[i]), percent), None
-        fitting = int(np.searchsorted(100 * size[:r], percent * len(s)))
-        for arrange, posting in zip(orders, postings, strict=True):
-            mine = arrange(s)[:p].tolist()
-            if found is None:
-                met = [posting[t] for t in mine if t in posting]
-                # Reading all sets of fitting size costs less than meeting most of them again and again.
-                found = range(fitting, r) if sum(map(len, met)) > 2 * (r - fitting) else set().union(*met)
-            elif found and isinstance(found, set):
-                found &= set().union(*(posting[t] for t in mine if t in posting))
-            for t in mine:
-                posting.setdefault(t, []).append(r)
-        if not found:
+        fitting = int(np.searchsorted(100 * size[:r], percent * size[r]))
+        where = postings[0].before(r)
+        if not len(where[0]):
             continue
-        if isinstance(found, range):
+        if (where[1] - where[0]).sum() > 2 * (r - fitting):
+            # Reading all sets of fitting size costs less than meeting most of them again and again.
             at, theirs = np.arange(fitting, r), numbers[end[fitting] - size[fitting] : end[r - 1]]
         else:
-            at = np.array(sorted(j for j in found if j >= fitting and not (across and sides[j] == sides[r])), np.int64)
+            at = np.unique(postings[0].met(*where)).astype(np.int64)
+            at = at[at >= fitting]
+            if across:
+                at = at[sides[at] != sides[r]]
+            for posting in postings[1:]:
+                if len(at):
+                    met = posting.met(*posting.before(r))
+                    seen[met] = True
+                    at, seen[met] = at[seen[at]], False
             if not len(at):
                 continue
             theirs = np.concatenate([numbers[end[j] - size[j] : end[j]] for j in at.tolist()])
+        if not len(at):
+            continue
         own = numbers[end[r] - size[r] : end[r]]
         mark[own] = 1
         both = np.add.reduceat(mark[theirs], np.cumsum(size[at]) - size[at], dtype=np.int64)
         mark[own] = 0
-        good = 100 * both >= percent * (len(s) + size[at] - both)
+        good = 100 * both >= percent * (size[r] + size[at] - both)
         if across:
             good &= sides[at] != sides[r]
         at = at[good]
@@ -246,8 +273,8 @@ def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
 
     rows_out = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * (100 - percent) // 75
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_out // MEETING + 1)
-    firsts = map_rows(keyed.select("text"), prefixes, "token long, salt long, d1 long, size long").repartition(parts, "token", "salt")
-    met = cut(firsts.mapInArrow(meet, "run long, d1 long, size long"), "met")
+    firsts = map_rows(keyed.select("text"), prefixes, "token long, salt long, d1 long, size long", key).repartition(parts, "token", "salt")
+    met = cut(map_batches(firsts, meet, "run long, d1 long, size long"), "met")
     shared = met.groupBy("run").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("run")
     met = cut(met.join(shared, "run"), "met")
     n = F.col("size")
@@ -282,17 +309,20 @@ def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    sets = whole.mapInArrow(gather, "grp long, node long, rows long, block int, blocks int, shingles binary")
+    sets = map_batches(whole, gather, "grp long, node long, rows long, block int, blocks int, shingles binary", key)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meets = sets.select("*", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget(key)
         pdf = pdf.drop_duplicates(["node"]).sort_values(["node"])
         found = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         nodes = pdf["node"].to_numpy()
         across = bool((pdf["lo"] != pdf["hi"]).any())  # even if one of the two blocks is empty: each block also meets itself
         edges, links = links_among(found, pdf["block"].to_numpy(), percent, sent.value, across, pdf["rows"].to_numpy(np.int64))
         some = np.flatnonzero(links)
+        if sum(map(len, found)) > block // 4:
+            trim()
         ends = np.array(edges, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": np.append(nodes[ends[:, 0]], nodes[some]), "b": np.append(nodes[ends[:, 1]], nodes[some]), "n": np.append(np.zeros(len(ends), np.int64), links[some])}, dtype="int64")
 

@@ -25,7 +25,7 @@ LENGTH, STEP, GAP = 2048, 8, 1e-3
 #: Steps of the linear program for each class at most; every step leaves a cover that can be used.
 STEPS = 8
 #: Parts into which each class is ranked, and cached words of a worker.
-RANKED, CACHED = 256, 600_000
+RANKED, CACHED = 256, 120_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, *, end_id: int = 1, length: in
         return out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(F.col(id_col).alias("id"), text), per_batch, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_rows(docs.select(F.col(id_col).alias("id"), text), per_batch, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long", key)
 
 
 # ---------------------------------------------------------------- the plan
@@ -245,7 +245,7 @@ def pack(docs: DataFrame, vocabulary_path: str, *, length: int = LENGTH, step: i
         return {n: column(batch, n) for n in names} | {"sequence_id": sequence}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = map_rows(ranked.select(*names), assign, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, cls long, rank long, sequence_id long")
+    placed = map_rows(ranked.select(*names), assign, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, cls long, rank long, sequence_id long", key)
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("cls"), "rank").rowsBetween(Window.unboundedPreceding, 0)
     offset = (F.sum("length").over(inside) - F.col("length")).alias("offset")
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset)

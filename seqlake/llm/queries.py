@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqlake.llm import toxicity
 from seqlake.llm.common import crc32_mod, spread, table
-from seqlake.llm.gif import digest_media, store_texts
+from seqlake.llm.gif import store_and_digest
 from seqlake.llm.hnsw import search_all
 from seqlake.llm.language_id import identify
 from seqlake.llm.mixing import mix, mix_sql
@@ -56,7 +56,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_media(store_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return store_and_digest(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import column, kept, map_rows, texts
+from seqlake.llm.common import column, kept, map_batches, map_rows, texts
 
 PRETOKEN = re.compile(" +[^ ]*")
 #: Entries of the broadcast table, and of each partition's summary: a table of 32,768 words is about 1 MB.
 TABLE_ROWS, SUMMARY_ROWS = 32_768, 8_192
 #: Distinct pre-tokens that a partition counts at once before it forgets the rarest, cached lengths in a worker, and the
 #: longest pre-token kept in either.
-COUNTED, CACHED, LONGEST = 400_000, 500_000, 48
+COUNTED, CACHED, LONGEST = 200_000, 150_000, 48
 
 
 def pretokens(text: str) -> list[str]:
@@ -73,7 +73,7 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", rows: int = TABLE_RO
         top = heapq.nlargest(SUMMARY_ROWS, ((n, w) for w, n in found.items() if len(w) <= LONGEST))
         yield pa.RecordBatch.from_pydict({"pretoken": pa.array([w for _, w in top], pa.string()), "n": pa.array([n for n, _ in top], pa.int64())})
 
-    summed = docs.select(text).mapInArrow(summary, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    summed = map_batches(docs.select(text), summary, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
     return [r[0] for r in summed.orderBy(F.desc("n"), "pretoken").limit(rows).collect()]
 
 
@@ -98,4 +98,4 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
         }
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text), per_batch, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    return map_rows(docs.select(id_col, text), per_batch, f"`{id_col}` {kind}, n_bytes long, n_tokens long", key)

@@ -25,7 +25,7 @@ POSITIVES, UNLABELLED = 6_000, 18_000
 #: A word counts if its shares of toxic and of unlabelled texts differ by so many standard errors; so many count at least.
 ERRORS, LEAST = 6.0, 12
 STEPS, RATE, DECAY, BETA, GAMMA = 1500, 0.05, 1e-6, 0.02, 1.0
-CACHED = 300_000
+CACHED = 120_000
 
 
 class Places(dict):
@@ -128,7 +128,7 @@ def place_rows(docs: DataFrame, text: str = "text") -> DataFrame:
         places = kept(key, Places)
         return {"places": [places.of(x).astype("<u4").tobytes() for x in texts(batch, text)]}
 
-    return map_rows(docs.select(text), per_batch, "places binary")
+    return map_rows(docs.select(text), per_batch, "places binary", key)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -163,4 +163,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str =
         places = kept(key, Places)
         return {id_col: column(batch, id_col), "score": [sent.value.score(places.of(x)) for x in texts(batch, text)]}
 
-    return map_rows(docs.select(id_col, text), per_batch, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    return map_rows(docs.select(id_col, text), per_batch, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double", key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -54,10 +55,38 @@ def test_dictionaries_count_copies_once(spark):
 def test_gif(docs):
     stored = gif.store_texts(docs)
     assert stored.count() == len(ROWS)
-    payload = {r.doc_id: r for r in gif.digest_media(stored).collect()}
+    got = gif.store_and_digest(docs).collect()
+    payload = {r.doc_id: r for r in got}
     assert payload[1].payload_bytes == 576 and payload[1].payload_sha256 == hashlib.sha256(b"\xff" * 576).hexdigest()
+    assert len(got) == len(ROWS) and payload[3][1:] == payload[4][1:] and payload[7].payload_bytes == 150336
+    assert len([r for r in got if r.doc_id == 8]) == 2 and len({tuple(r) for r in got if r.doc_id == 8}) == 1
     assert gif.read_frames(stored.where("doc_id = 3")).first()["frames"][0]["delay_ms"] == 100
     assert gif.read_frames(stored.select("doc_id", F.lit(b"junk").alias("media"))).where("frames is not null").count() == 0
+    assert gif.store_and_digest(docs.limit(0)).count() == 0
+
+
+def test_media_query_against_brute_force(spark):
+    """Payload, checksums, media and histogram of every document, worked out again in Python."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op8_gif_media(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + b"\xff" * ((-len(data)) % 576 or (0 if data else 576))
+        media = gif.encode_gif(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature.startswith(f"frames={-(-len(payload) // 9216)};ms=")
+
+
+def test_frames_keep_colours_and_holes(spark):
+    """A coloured animation with transparent pixels, stored and read as columns."""
+    head = b"GIF89a\x02\x00\x01\x00\xf1\x00\x00" + bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    code = gif.lzw_encode(b"\x01\x03", 2)
+    data = head + b"\x21\xf9\x04\x01\x07\x00\x03\x00" + b"\x2c" + b"\0\0\0\0\x02\0\x01\0\0" + b"\x02" + bytes([len(code)]) + code + b"\0\x3b"
+    (f,) = gif.read_frames(spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary")).first()["frames"]
+    assert (f.channels, f.delay_ms, bytes(f.shown), f.colour_sums, sum(f.histogram)) == (3, 70, b"\1\0", [255, 0, 0], 1)
+    assert bytes(f.pixels)[:3] == bytes([255, 0, 0])
 
 
 def test_ngram_join(docs):
