@@ -31,7 +31,7 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return kept.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 6).alias("cell_weight"), F.round("mix_prob", 6).alias("keep_prob"))
+    return kept.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("est_tokens"), F.round("mix_weight", 6).alias("cell_weight"), F.round("mix_prob", 6).alias("keep_prob"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op3_mixing": mix_sql("select doc_id, text, lang, source from documents", "doc_id, d.source, d.lang, d.topic, tokens as n_tokens, round(weight, 6) as cell_weight, round(prob, 6) as keep_prob"),
+    "op3_mixing": mix_sql("select doc_id, text, lang, source from documents", "doc_id, d.source, d.lang, d.topic, tokens as est_tokens, round(weight, 6) as cell_weight, round(prob, 6) as keep_prob"),
     "op6_url_filter": judge_sql(),
 }

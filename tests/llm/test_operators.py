@@ -170,6 +170,27 @@ def test_mixing(docs):
         mixing.mix(docs.withColumn("mix_prob", F.lit(1)))
 
 
+def test_raked_margins_are_the_targets(spark):
+    """Every margin's shares are its targets; null is a value; ties and hot cells don't matter; what contradicts is told."""
+    rng = random.Random(5)
+    rows = [(s, la, t, rng.randint(1, 50) * (900 if s == "a" else 1)) for s in ("a", "b", None) for la in ("en", "de", None) for t in ("x", "y")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"lang": {"en": 0.5, None: 0.2}, "source": {"a": 0.25}, "topic": {"x": 0.5, "gone": 0.5}}
+    raked, miss = mixing.rake(cells, mixing.MARGINS, 0.7, targets)
+    found = raked.collect()
+    share = lambda m, v: sum(r["weight"] for r in found if r[m] == v)
+    assert miss <= 1e-9 and abs(share("lang", "en") - 0.5) < 1e-9 and abs(share("lang", None) - 0.2) < 1e-9 and abs(share("source", "a") - 0.25) < 1e-9
+    free = {v: sum(r[3] for r in rows if r[0] == v) ** 0.7 for v in ("b", None)}
+    assert abs(share("source", "b") - 0.75 * free["b"] / sum(free.values())) < 1e-9
+    assert abs(share("topic", "x") - 0.5 / (0.5 + 0.5)) < 1e-9  # the rest goes to the values that there are
+    apart = spark.createDataFrame([("a", "en", "x", 10), ("b", "de", "x", 10)], cells.schema)
+    with pytest.warns(UserWarning, match="missed"):
+        _, miss = mixing.rake(apart, mixing.MARGINS, 1.0, {"source": {"a": 0.9}, "lang": {"en": 0.1}})
+    assert miss > 0.5
+    calibrated = mixing.calibrate(raked, 0.5).collect()
+    assert abs(sum(r.tokens * r.keep_prob for r in calibrated) - 0.5 * sum(r[3] for r in rows)) < 1e-6 * sum(r[3] for r in rows)
+
+
 def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(3, 1), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels, F.lit(True))).collect()
