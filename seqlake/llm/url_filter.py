@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import cut
+from seqlake.llm.common import cut, drop
 
 
 @dataclass(frozen=True)
@@ -33,9 +33,11 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-ROUNDS, DAMPING, CUT = 12, 0.85, 4
-#: A host is blocked if its distrust is at least FLOOR times an even share and RATIO times its trust.
-FLOOR, RATIO = 0.1, 1.0
+#: Rounds that are planned together, and hosts up to which a round is one task without a shuffle.
+TOGETHER, SMALL, DAMPING = 8, 100_000, 0.85
+#: A host is blocked if its distrust is above FLOOR times an even share and above RATIO times its trust. Ranks are settled to
+#: SETTLED of that floor, and what is nearer to a threshold than that is not above it.
+FLOOR, RATIO, SETTLED = 0.1, 1.0, 0.01
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -60,17 +62,36 @@ def verdict_of(rule: Column, rules: tuple[Rule, ...]) -> Column:
     return F.when(rule.isin(blocked), "block").when(rule.isNotNull(), "allow")
 
 
-def spread_along(edges: DataFrame, hosts: DataFrame, seed: str) -> DataFrame:
-    """Personalised PageRank of every host: ``host, rank``, from the hosts' column ``seed`` along ``edges`` (src, dst, share)."""
-    total = hosts.agg(F.coalesce(F.sum(seed), F.lit(0.0))).first()[0] or 1.0
-    base = hosts.select("host", (F.col(seed) / F.lit(total)).alias("start"))
-    ranks = base.select("host", "start", F.col("start").alias("rank"))
-    for i in range(ROUNDS):
-        flow = ranks.join(edges, ranks["host"] == edges["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        ranks = base.join(flow, base["host"] == flow["dst"], "left").select("host", "start", ((1 - DAMPING) * F.col("start") + DAMPING * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        if i % CUT == CUT - 1:
-            ranks = cut(ranks, "ranks")
-    return ranks.select("host", "rank")
+def propagate(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``host, trust, distrust`` of ``nodes`` (host, trusted, blamed) over ``links`` (src, dst, n).
+
+    Trust is the personalised PageRank from trusted hosts along links; distrust the one from blamed hosts against them. Both
+    walk in one table, round by round, until no host's rank can still move by more than ``SETTLED`` of the floor: each round
+    leaves at most the damping's share of the last one's change.
+    """
+    count = nodes.count()
+    small = count <= SMALL
+    tidy = lambda df: df.coalesce(1) if small else df
+    both = F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.lit("d").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")
+    edges = links.select("n", both).select("e.*", "n")
+    out = edges.groupBy("kind", "a").agg(F.sum("n").alias("all"))
+    edges = cut(edges.join(out, ["kind", "a"]).select(F.col("kind").alias("walk"), F.col("a").alias("from"), F.col("b").alias("to"), (F.col("n") / F.col("all")).alias("share")), "edges")
+    trusted, blamed = nodes.agg(F.coalesce(F.sum("trusted"), F.lit(0.0)), F.coalesce(F.sum("blamed"), F.lit(0.0))).first()
+    seeds = F.explode(F.array(F.struct(F.lit("t").alias("kind"), (F.col("trusted") / F.lit(trusted or 1.0)).alias("start")), F.struct(F.lit("d").alias("kind"), (F.col("blamed") / F.lit(blamed or 1.0)).alias("start")))).alias("s")
+    ranks = cut(nodes.select("host", seeds).select("s.kind", "host", "s.start", F.col("s.start").alias("rank"), F.lit(0.0).alias("moved")), "ranks")
+    while True:
+        before, now, along = ranks, tidy(ranks), tidy(edges)
+        for _ in range(TOGETHER):
+            flow = now.join(along, F.expr("kind = walk and host = from")).groupBy("walk", "to").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
+            new = (1 - DAMPING) * F.col("start") + DAMPING * F.coalesce("flow", F.lit(0.0))
+            now = now.join(flow, F.expr("kind = walk and host = to"), "left").select("kind", "host", "start", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
+        ranks = cut(now, "ranks")
+        drop(before)
+        moved = ranks.agg(F.max("moved")).first()[0] or 0.0
+        if moved * DAMPING / (1 - DAMPING) <= SETTLED * FLOOR / max(count, 1):
+            break
+    pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
+    return ranks.groupBy("host").agg(pick("t").alias("trust"), pick("d").alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -91,11 +112,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "p
     nodes = hosts.union(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0), F.lit(0.0))).groupBy("host").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
     # A seed counts once, however many pages it has.
     nodes = cut(nodes.select("host", F.when((F.col("allowed") > 0) & (F.col("blocked") == 0), 1.0).otherwise(0.0).alias("trusted"), F.when(F.col("blocked") > 0, 1.0).otherwise(0.0).alias("blamed")), "nodes")
-    share = lambda a, b: links.join(links.groupBy(a).agg(F.sum("n").alias("total")), a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("n") / F.col("total")).alias("share"))
-    trust = spread_along(cut(share("src", "dst"), "edges"), nodes, "trusted").withColumnRenamed("rank", "trust")
-    distrust = spread_along(cut(share("dst", "src"), "edges"), nodes, "blamed").withColumnRenamed("rank", "distrust")
     even = FLOOR / max(nodes.count(), 1)
-    scored = trust.join(distrust, "host").withColumn("bad", (F.col("distrust") >= F.lit(even)) & (F.col("distrust") > RATIO * F.col("trust")))
+    above = lambda x, y: F.col(x) - y > F.lit(SETTLED * even)
+    scored = cut(propagate(nodes, links).withColumn("bad", above("distrust", F.lit(even)) & above("distrust", RATIO * F.col("trust"))), "scored")
     # A third of all pages may have one host: hosts are few for each task, so AQE may broadcast them or split the hot one.
     out = rows.drop("html").join(scored, "host", "left")
     verdict = F.coalesce(judged, F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow"))

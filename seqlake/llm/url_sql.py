@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from seqlake.llm.url_filter import DAMPING, FLOOR, RATIO, ROUNDS, RULES
+from seqlake.llm.url_filter import DAMPING, FLOOR, RATIO, RULES, SETTLED
 
 
-def judge_sql() -> str:
+def judge_sql(rounds: int = 160) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     link = r"""(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
     fits = " ".join(f"when (host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}') then '{r}'" for r in sorted(RULES, key=lambda r: -len(str(r))))
@@ -19,11 +19,10 @@ def judge_sql() -> str:
         r"ties as (select host, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) as parent from hosts)",
         "links as materialized (select src, dst, count(*) as n from (select src, dst from linked union all select host, parent from ties where parent <> '' union all select parent, host from ties where parent <> '') where src <> dst group by all)",
         "nodes as materialized (select host, case when sum(allowed) > 0 and sum(blocked) = 0 then 1.0 else 0.0 end::double as trusted, case when sum(blocked) > 0 then 1.0 else 0.0 end::double as blamed from (select * from hosts union all select src, 0, 0 from links union all select dst, 0, 0 from links) group by host)",
-        "fore as materialized (select src, dst, n / sum(n) over (partition by src) as share from links)",
-        "back as materialized (select dst as src, src as dst, n / sum(n) over (partition by dst) as share from links)",
+        "edges as materialized (select 't' as kind, src as a, dst as b, n / sum(n) over (partition by src) as share from links union all select 'd', dst, src, n / sum(n) over (partition by dst) from links)",
+        "seeds as materialized (select 't' as kind, host, trusted / coalesce(nullif(sum(trusted) over (), 0), 1) as start from nodes union all select 'd', host, blamed / coalesce(nullif(sum(blamed) over (), 0), 1) from nodes)",
+        f"ranks as (select kind, host, start, start as rank, 0 as round from seeds union all select p.kind, p.host, p.start, {1 - DAMPING!r} * p.start + {DAMPING} * coalesce(f.flow, 0), p.round + 1 from ranks p left join (select edges.kind, b, sum(rank * share) as flow from ranks join edges on ranks.kind = edges.kind and host = a group by edges.kind, b) f on p.kind = f.kind and p.host = f.b where p.round < {rounds})",
+        f"scored as materialized (select host, sum(rank) filter (kind = 't') as trust, sum(rank) filter (kind = 'd') as distrust, {FLOOR} / (select count(*) from nodes) as even from ranks where round = {rounds} group by host)",
     ]
-    for name, edges, seed in (("t", "fore", "trusted"), ("d", "back", "blamed")):
-        ctes.append(f"{name}0 as materialized (select host, {seed} / coalesce(nullif(sum({seed}) over (), 0), 1) as start, {seed} / coalesce(nullif(sum({seed}) over (), 0), 1) as rank from nodes)")
-        for i in range(ROUNDS):
-            ctes.append(f"{name}{i + 1} as materialized (select p.host, p.start, {1 - DAMPING!r} * p.start + {DAMPING} * coalesce(f.flow, 0) as rank from {name}{i} p left join (select dst, sum(rank * share) as flow from {name}{i} join {edges} on host = src group by dst) f on p.host = f.dst)")
-    return f"with {', '.join(ctes)} select page_id, r2.host, path, rule, coalesce(judged, case when coalesce(d.rank >= {FLOOR} / (select count(*) from nodes) and d.rank > {RATIO} * t.rank, false) then 'block' else 'allow' end) as verdict from r2 left join t{ROUNDS} t on r2.host = t.host left join d{ROUNDS} d on r2.host = d.host"
+    bad = f"distrust - even > {SETTLED} * even and distrust - {RATIO} * trust > {SETTLED} * even"
+    return f"with recursive {', '.join(ctes)} select page_id, r2.host, path, rule, coalesce(judged, case when coalesce({bad}, false) then 'block' else 'allow' end) as verdict from r2 left join scored on r2.host = scored.host"

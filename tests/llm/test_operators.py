@@ -239,6 +239,31 @@ def test_urls(spark):
     assert got[7] == ("example.com", "", None, got[7][3])
 
 
+LINKED = [
+    (1, "http://seed.com/", '<a href="http://good.org/x"> <a href=//good.org/y>'), (2, "http://good.org/a", '<a href="https://far.org/">'), (3, "http://far.org/", '<A HREF=\'HTTP://FAR2.org\'>'),
+    (4, "http://farm.org/", '<a href="http://spam.net/fr/q"><a href="http://seed.com">'), (5, "http://spam.net/fr/q", ""), (6, "http://hub.org/", '<a href="http://farm.org/"><a href="http://farm.org/2">'),
+    (7, "http://hub2.org/", '<a href="http://hub.org/">'), (8, "http://alone.org/", None), (8, "http://alone.org/", None), (None, None, '<a href="http://x.org">'), (9, "no scheme", ""), (10, "://only/path", "<a href='/rel'>"),
+    *[(100 + i, f"http://c{i}.org/", f'<a href="http://c{i + 1}.org/">') for i in range(30)], (131, "http://c30.org/", '<a href="http://spam.net/fr/q">'),
+]
+
+
+def test_urls_follow_links_to_the_end(spark):
+    """Trust and distrust along real links, over chains longer than any fixed number of rounds, against SQL and plain power iteration."""
+    pages = spark.createDataFrame(LINKED, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "rank", "kind", "trust", "src")})
+    got = url_filter.judge(pages).collect()
+    assert len(got) == len(LINKED)
+    verdict = {r.host: r.verdict for r in got}
+    assert verdict["farm.org"] == verdict["hub.org"] == verdict["c30.org"] == "block" and verdict["good.org"] == verdict["far.org"] == verdict["alone.org"] == verdict[""] == "allow"
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = con.sql(f"select page_id, host, path, rule, verdict from ({queries.SQL['op6_url_filter']})").fetchall()
+    assert Counter(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got) == Counter(str((None if x[0] is None or x[0] != x[0] else int(x[0]), *x[1:])) for x in want)
+    rank = {r.host: r.distrust for r in got}
+    chain = [rank[f"c{i}.org"] for i in range(31)]
+    assert all(abs(a / b - url_filter.DAMPING) < 0.05 for a, b in zip(chain[20:], chain[21:], strict=False)) and chain[0] > 0
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
