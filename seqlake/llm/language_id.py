@@ -22,6 +22,8 @@ UNKNOWN = "und"
 #: Labelled texts sampled for each language (as expected from a hash of the text), and the characters taken from each of
 #: them at a place that the hash picks: dictionaries have about 128 KB.
 TEXTS_PER_LANG, CHARS_PER_TEXT = 384, 384
+#: Languages that are learned at most: each costs an encoder in every worker.
+LANGUAGES = 256
 #: Bytes of a text that are encoded at once, so that the dictionary and not the text's own start explains each piece.
 PIECE = 4096
 LEVEL = 3
@@ -32,15 +34,16 @@ SHORT, CONTEXT, PART = 512, 8192, 1024
 MARGIN, SOFTNESS = 0.004, 2.0
 
 
-def fit_dictionaries(labelled: DataFrame, *, text: str = "text", lang: str = "lang", texts_per_lang: int = TEXTS_PER_LANG, chars: int = CHARS_PER_TEXT) -> dict[str, bytes]:
-    """A dictionary for every language of ``labelled`` (rows with null text or language count for nothing).
+def fit_dictionaries(labelled: DataFrame, *, text: str = "text", lang: str = "lang", texts_per_lang: int = TEXTS_PER_LANG, chars: int = CHARS_PER_TEXT, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """A dictionary for each of the ``languages`` that have most different texts in ``labelled`` (ties by name); the others aren't learned.
 
-    Equal texts of a language count once, however often they stand there. A language whose texts are few or none by the draw
-    has the text of the least hash in any case.
+    Rows with null text or language count for nothing. Equal texts of a language count once, however often they stand there.
+    A language whose texts are few or none by the draw has the text of the least hash in any case.
     """
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null and t <> ''")
     rows = rows.withColumn("k", F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13))
-    counts = {r[0]: (r[1], r[2]) for r in rows.select("l", "k").distinct().groupBy("l").agg(F.count("*"), F.min("k")).collect()}
+    most = rows.groupBy("l").agg(F.approx_count_distinct("k", 0.02).alias("n"), F.min("k").alias("low")).orderBy(F.desc("n"), "l").limit(languages)
+    counts = {r[0]: (r[1], r[2]) for r in most.collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, (n, _) in sorted(counts.items()) for x in (k, min(1.0, texts_per_lang / n))])

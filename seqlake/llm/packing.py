@@ -24,8 +24,8 @@ from seqlake.llm.common import column, cut, kept, map_rows, texts
 LENGTH, STEP, GAP = 2048, 8, 1e-3
 #: Steps of the linear program for each class at most; every step leaves a cover that can be used.
 STEPS = 8
-#: Parts into which each class is ranked, and cached words of a worker.
-RANKED, CACHED = 256, 120_000
+#: Pieces that are ranked together, rows up to which a table is broadcast, and cached words of a worker.
+RANKED, SMALL, CACHED = 50_000, 100_000, 120_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -222,14 +222,16 @@ def pack(docs: DataFrame, vocabulary_path: str, *, length: int = LENGTH, step: i
     spark = docs.sparkSession
     found = cut(pieces(docs, vocabulary_path, end_id=end_id, length=length, id_col=id_col, text=text), "pieces")
     room = length // step
-    part = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(RANKED))
-    # A full piece is a class of its own: its sequence holds nothing else.
-    ranked = found.withColumns({"cls": F.ceil(F.col("length") / step).cast("long"), "part": part})
-    counts = cut(ranked.groupBy("cls", "part").agg(F.count("*").alias("n")), "counts")
+    cls = F.ceil(F.col("length") / step).cast("long")
+    histogram = {r[0]: r[1] for r in found.groupBy(cls.alias("cls")).count().collect()}  # a row for each of the classes
+    # A class is ranked in parts of about RANKED pieces, however many it has: most pieces of long texts are of the largest class.
+    parts = {c: -(-n // RANKED) for c, n in histogram.items()}
+    part = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.create_map(*[F.lit(x) for c, n in sorted(parts.items()) for x in (c, n)])[F.col("cls")]) if parts else F.lit(0).cast("long")
+    ranked = found.withColumn("cls", cls).withColumn("part", part)
+    counts = ranked.groupBy("cls", "part").agg(F.count("*").alias("n"))
     before = counts.select("cls", "part", (F.sum("n").over(Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("cls", "part").orderBy("id", "start", "ids_crc32", "doc_tokens")) - 1
-    ranked = ranked.withColumn("own", own).join(F.broadcast(before), ["cls", "part"]).withColumn("rank", F.col("before") + F.col("own"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("cls").agg(F.sum("n")).collect()}
+    ranked = ranked.withColumn("own", own).join(F.broadcast(before) if sum(parts.values()) <= SMALL else before, ["cls", "part"]).withColumn("rank", F.col("before") + F.col("own"))
     table = slots(plan(histogram, room), 0)
     sent, key = spark.sparkContext.broadcast({c: g.sort_values("lo")[["lo", "each", "base"]].to_numpy() for c, g in table.groupby("cls")}), uuid.uuid4().hex
     names = ("id", "start", "length", "ids_crc32", "doc_tokens", "cls", "rank")

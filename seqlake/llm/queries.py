@@ -40,7 +40,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    held_out = crc32_mod("doc_id", 4) == 2
+    held_out = F.coalesce(crc32_mod("doc_id", 4) == 2, F.lit(False))
     found = identify(docs, train=~held_out, keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
@@ -65,7 +65,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spread(table(spark, sf_dir, name)) for name in ("documents", "labels"))
-    held_out = crc32_mod("doc_id", 5) == 0
+    held_out = F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False))
     scored = toxicity.score(docs, toxicity.fit(docs, labels, learn=~held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -3,8 +3,8 @@
 A subword BPE of this kind has no piece that holds a non-space followed by a space mark, so no merge crosses the start of a
 run of spaces: a text's token count is the sum over its pre-tokens (a run of spaces with the word after it). Tier one is a
 broadcast table of the lengths of the corpus's frequent pre-tokens; tier two encodes a miss with the library and keeps its
-length in a bounded cache that lives as long as the Python worker. Pre-tokens are never shuffled: only each partition's
-bounded summary of frequent ones is.
+length in a bounded cache that lives as long as the Python worker. Pre-tokens are never shuffled: each partition gives one
+row, its bounded summary of frequent ones, and these rows are merged.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ TABLE_ROWS, SUMMARY_ROWS = 32_768, 8_192
 #: Distinct pre-tokens that a partition counts at once before it forgets the rarest, cached lengths in a worker, and the
 #: longest pre-token kept in either.
 COUNTED, CACHED, LONGEST = 200_000, 150_000, 48
+#: Summaries that are merged at once.
+MERGED = 32
 
 
 def pretokens(text: str) -> list[str]:
@@ -61,7 +65,11 @@ class Lengths(dict):
 
 
 def frequent_pretokens(docs: DataFrame, text: str = "text", rows: int = TABLE_ROWS) -> list[str]:
-    """The corpus's most frequent pre-tokens, from bounded summaries of every partition (counts are lower bounds)."""
+    """The corpus's most frequent pre-tokens, from one bounded summary for each partition (counts are lower bounds).
+
+    Summaries are merged ``MERGED`` at a time, each a single row: no pre-token is a key of any shuffle.
+    """
+    most = lambda found, n: heapq.nlargest(n, ((k, w) for w, k in found.items()))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -70,11 +78,23 @@ def frequent_pretokens(docs: DataFrame, text: str = "text", rows: int = TABLE_RO
                 found.update(pretokens(x))
                 if len(found) > COUNTED:
                     found = Counter(dict(heapq.nlargest(COUNTED // 4, found.items(), key=lambda kv: kv[1])))
-        top = heapq.nlargest(SUMMARY_ROWS, ((n, w) for w, n in found.items() if len(w) <= LONGEST))
-        yield pa.RecordBatch.from_pydict({"pretoken": pa.array([w for _, w in top], pa.string()), "n": pa.array([n for n, _ in top], pa.int64())})
+        top = most({w: n for w, n in found.items() if len(w) <= LONGEST}, SUMMARY_ROWS)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "pretokens": pa.array([[w for _, w in top]], pa.list_(pa.string())), "counts": pa.array([[n for n, _ in top]], pa.list_(pa.int64()))})
 
-    summed = map_batches(docs.select(text), summary, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    return [r[0] for r in summed.orderBy(F.desc("n"), "pretoken").limit(rows).collect()]
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: Counter[str] = Counter()
+        for words, counts in zip(pdf["pretokens"], pdf["counts"], strict=True):
+            for w, n in zip(words, counts, strict=True):
+                found[w] += int(n)
+        top = most(found, rows)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // MERGED], "pretokens": [[w for _, w in top]], "counts": [[n for n, _ in top]]})
+
+    schema = "part long, pretokens array<string>, counts array<long>"
+    found, parts = map_batches(docs.select(text), summary, schema), max(docs.rdd.getNumPartitions(), 2)
+    while parts > 1:
+        found, parts = found.groupBy(F.floor(F.col("part") / MERGED)).applyInPandas(merge, schema), -(-parts // MERGED)
+    return [w for r in found.collect() for w in r["pretokens"]][:rows]
 
 
 def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text: str = "text", table_rows: int = TABLE_ROWS) -> DataFrame:
