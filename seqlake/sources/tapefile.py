@@ -1,117 +1,219 @@
-"""The row-oriented record log: a Python data source, a writer, and the payload codecs.
+"""Record logs as a Python data source: windows of row-oriented and columnar files, read side by side, and a writer that never overwrites.
 
-A file is an 8-byte header (magic, version, reserved) and records of type, length and payload. A record's place is its file and
-its ordinal there; both are columns.
+``spark.dataSource.register(TapeSource)``, then ``spark.read.format("tapelog").load(window)``. Options: ``mode`` (``records``, the
+records; ``index``, the columnar files' index columns beside them; ``footers``, one row for each batch, bodies passed over;
+``profile``, what each file is made of), and ``symbol``, ``date``, ``hour`` to read only these partitions; ``pushdown`` (``true``) to have them taken
+from the query's own filters.
 """
 
 from __future__ import annotations
 
-import os
-import struct
+import io
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
+from decimal import Decimal
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-#: Fixed values of the format.
-MAGIC, VERSION, MESSAGE, GAP, RESEED, MOST = b"TAPE", 1, 1, 2, 3, 32 << 20
-SCHEMA = "file string, file_idx int, rec long, kind string, recv_ns long, raw binary, expected decimal(20,0), got decimal(20,0), dropped decimal(20,0), reason string"
-
-
-def message(recv_ns: int, raw: bytes) -> tuple[int, bytes]:
-    return MESSAGE, struct.pack("<q", recv_ns) + raw
-
-
-def gap(at_ns: int, expected: int, got: int, dropped: int = 0) -> tuple[int, bytes]:
-    return GAP, struct.pack("<qQQ", at_ns, expected, got) + (struct.pack("<Q", dropped) if dropped else b"")
-
-
-def reseed(at_ns: int, reason: str) -> tuple[int, bytes]:
-    return RESEED, struct.pack("<q", at_ns) + reason.encode()
-
-
-def write_file(path: str, records: list[tuple[int, bytes]]) -> None:
-    """A new file of records; a path that is taken is refused (stored data is never rewritten)."""
-    with open(path, "xb") as f:
-        f.write(MAGIC + struct.pack("<HH", VERSION, 0))
-        for kind, payload in records:
-            if len(payload) > MOST:
-                raise ValueError("the payload is too long")
-            f.write(struct.pack("<BI", kind, len(payload)) + payload)
-
-
-def read_records(data: bytes) -> Iterator[tuple]:
-    """(kind, recv_ns, raw, expected, got, dropped, reason) of each record; a file that ends within one is an error."""
-    if len(data) < 8 or data[:4] != MAGIC:
-        raise ValueError("no record log")
-    if struct.unpack_from("<H", data, 4)[0] != VERSION:
-        raise ValueError(f"version {struct.unpack_from('<H', data, 4)[0]} is not known")
-    at = 8
-    while at < len(data):
-        if at + 5 > len(data):
-            raise ValueError(f"a record header is cut off at {at}")
-        kind, size = struct.unpack_from("<BI", data, at)
-        body = data[at + 5 : at + 5 + size]
-        if size > MOST or len(body) < size:
-            raise ValueError(f"a record is cut off at {at}")
-        if len(body) < 8:
-            raise ValueError("the payload is too short")
-        at_ns = struct.unpack_from("<q", body)[0]
-        if kind == MESSAGE:
-            yield "message", at_ns, body[8:], None, None, None, None
-        elif kind == GAP:
-            if len(body) not in (24, 32):
-                raise ValueError("a gap has 24 or 32 bytes")
-            expected, got = struct.unpack_from("<QQ", body, 8)
-            yield "gap", at_ns, None, expected, got, struct.unpack_from("<Q", body, 24)[0] if len(body) == 32 else 0, None
-        elif kind == RESEED:
-            yield "reseed", at_ns, None, None, None, None, body[8:].decode(errors="replace")
-        else:
-            raise ValueError(f"record type {kind} is not known")
-        at += 5 + size
-
-
-def window_files(root: str) -> list[str]:
-    """The ``.tape`` files below ``root`` (or that one file), by their relative names' bytes; none is an error."""
-    if os.path.isfile(root):
-        return [os.path.basename(root)]
-    found = [os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names if f.endswith(".tape")]
-    if not found:
-        raise FileNotFoundError(f"{root} holds no .tape file")
-    return sorted(found, key=str.encode)
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from seqlake.sources import columnar
+from seqlake.sources.records import Record, header, packed, read_rows, read_version
+from seqlake.sources.records import VERSION as ROWS_VERSION
+from seqlake.sources.store import SUFFIX, Store, Taken, valid_symbol, window_keys
 
+PLACE = "symbol string, date string, hour string, file string, file_idx int, rec long"
+RECORDS = f"{PLACE}, kind string, recv_ns long, raw binary, expected decimal(20,0), got decimal(20,0), dropped decimal(20,0), reason string"
+INDEX = f"{PLACE}, type string, exch_ns long, seq decimal(20,0), side string, price_text string, size_text string"
+FOOTERS = "symbol string, date string, hour string, file string, file_idx int, batch int, rec long, rows long, first_ns long, last_ns long, has_gap boolean, has_reseed boolean"
+PROFILE = "symbol string, date string, hour string, file string, file_idx int, version int, stored long, batches long, rows long, gap_batches long, bytes long, framing long, frame_bytes long, columns array<struct<name:string,raw:long,stored:long>>"
+SCHEMAS = {"records": RECORDS, "index": INDEX, "footers": FOOTERS, "profile": PROFILE}
+#: Fixed value: files of the first 10 bytes' version are these.
+VERSIONS = (ROWS_VERSION, columnar.VERSION)
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: Nanoseconds from the year 1, from which windows are counted, to 1970.
+ORIGIN = 62_135_596_800 * 10**9
+
+
+def open_version(f: io.BufferedIOBase) -> int:
+    version = read_version(f)
+    if version not in VERSIONS:
+        raise ValueError(f"version {version} is not known")
+    return version
+
+
+def read_records(f: io.BufferedIOBase) -> Iterator[Record]:
+    """A file's records, whichever format its version says."""
+    if open_version(f) == ROWS_VERSION:
+        yield from read_rows(f)
+    else:
+        for body, footer in columnar.read_bodies(f):
+            yield from columnar.decode_batch(body or b"", footer).records
+
+
+def to_bytes(records: list[Record], version: int) -> bytes:
+    """A whole file of records."""
+    body = map(packed, records) if version == ROWS_VERSION else map(columnar.encode_batch, columnar.batches(iter(records)))
+    return header(version) + b"".join(body)
+
+
+def window_start(at_ns: int, window_ns: int) -> int:
+    return at_ns - (at_ns + ORIGIN) % window_ns
+
+
+def key_of(symbol: str, start_ns: int) -> str:
+    """The object key of a symbol's file that starts at ``start_ns``."""
+    at = EPOCH + timedelta(seconds=start_ns // 10**9)
+    return f"v1/symbol={valid_symbol(symbol)}/date={at:%Y-%m-%d}/hour={at:%H}/{at:%Y%m%dT%H%M%SZ}{SUFFIX}"
+
+
+@dataclass
 class _File(InputPartition):
-    def __init__(self, index: int, name: str, path: str):
-        super().__init__((index, name, path))
+    index: int
+    key: str
+    parts: tuple
 
 
-class TapeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+def parts_of(key: str) -> tuple:
+    """symbol, date and hour that a key names, null where it doesn't."""
+    named = dict(p.split("=", 1) for p in key.split("/") if "=" in p)
+    return tuple(named.get(k) for k in ("symbol", "date", "hour"))
 
-    def partitions(self) -> list[InputPartition]:
-        base = os.path.dirname(self.root) if os.path.isfile(self.root) else self.root
-        return [_File(i, name, os.path.join(base, name)) for i, name in enumerate(window_files(self.root))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from decimal import Decimal
+class TapeReader(DataSourceReader):
+    """One task for each file; a file's place is its index among its symbol's files."""
+
+    def __init__(self, root: str, mode: str, wanted: dict[str, set[str]]):
+        self.root, self.mode, self.wanted = root, mode, wanted
 
-        index, name, path = partition.value
-        with open(path, "rb") as f:
-            data = f.read()
-        for rec, (kind, at, raw, *numbers, reason) in enumerate(read_records(data)):
-            yield name, index, rec, kind, at, raw, *(None if n is None else Decimal(n) for n in numbers), reason
+    def partitions(self) -> list[InputPartition]:
+        store = Store(self.root)
+        if store.is_file():
+            name = store.base.rpartition("/")[2]
+            return [_File(0, name, parts_of(store.base))]
+        out, counts = [], {}
+        for key in window_keys(store):
+            parts = parts_of(key)
+            index = counts[parts[0]] = counts.get(parts[0], -1) + 1  # a file keeps its place whatever is read beside it
+            if all(parts[i] in self.wanted[n] for i, n in enumerate(("symbol", "date", "hour")) if n in self.wanted):
+                out.append(_File(index, key, parts))
+        if not out:
+            raise FileNotFoundError(f"{self.root} holds no {SUFFIX} file of {self.wanted}")
+        return out
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        store = Store(self.root)
+        key = "" if store.is_file() else partition.key
+        place = (*partition.parts, partition.key, partition.index)
+        wide = lambda v: None if v is None else Decimal(v)
+        with store.open(key) as raw, io.BufferedReader(raw, 1 << 18) as f:
+            if self.mode == "records":
+                for rec, r in enumerate(read_records(f)):
+                    kind, at, frame, *numbers, reason = r.row()
+                    yield *place, rec, kind, at, frame, *map(wide, numbers), reason
+                return
+            version = open_version(f)
+            if self.mode == "profile":
+                size = store.size(key)
+                if version == ROWS_VERSION:  # measured as the columnar file that it would be
+                    f = io.BytesIO(to_bytes(list(read_rows(f)), columnar.VERSION))
+                    f.seek(8)
+                p = columnar.profile(f)
+                yield *place, version, size, *[p[k] for k in ("batches", "rows", "gap_batches", "bytes", "framing", "frame_bytes")], [(n, a, b) for n, (a, b) in p["columns"].items()]
+                return
+            if version == ROWS_VERSION:
+                raise ValueError(f"{partition.key} is row-oriented: it has no {self.mode}")
+            rec = 0
+            for number, (body, footer) in enumerate(columnar.read_bodies(f, skip=self.mode == "footers")):
+                if self.mode == "footers":
+                    yield *place, number, rec, footer.rows, footer.first_ns, footer.last_ns, footer.has_gap, footer.has_reseed
+                else:
+                    index = columnar.decode_batch(body or b"", footer).index
+                    for i, row in enumerate(zip(*[index[k] for k in ("type", "exch_ns", "seq", "side", "price_text", "size_text")], strict=True)):
+                        yield *place, rec + i, row[0], row[1], wide(row[2]), *row[3:]
+                rec += footer.rows
+
+
+class PruningReader(TapeReader):
+    """The reader that takes filters; Spark wants ``spark.sql.python.filterPushdown.enabled`` for it."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Equalities on symbol, date and hour choose files; the rest is Spark's."""
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, EqualTo | In) and len(f.attribute) == 1 else ""
+            if name not in ("symbol", "date", "hour"):
+                yield f
+                continue
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class TapeWriter(DataSourceWriter):
+    """Rows (``symbol, kind, recv_ns, raw, expected, got, dropped, reason``) as one file for each symbol and window.
+
+    A window's rows must come in one task and in one run (``repartition("symbol", window).sortWithinPartitions(...)``): a
+    window that comes again after it was closed is refused, and so is a key that is taken. Files appear when all tasks are done.
+    """
+
+    def __init__(self, root: str, version: int, window_ns: int, columns: list[str]):
+        if window_ns <= 0 or version not in VERSIONS:
+            raise ValueError(f"a window of {window_ns} ns in version {version}")
+        self.root, self.version, self.window_ns, self.columns = root, version, window_ns, columns
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        store, done, files = Store(self.root), set(), []
+        get = {c: i for i, c in enumerate(self.columns)}
+
+        def record(row) -> Record:
+            value = lambda c: row[get[c]] if c in get else None
+            return Record(value("kind"), value("recv_ns"), bytes(value("raw") or b""), *[int(value(c) or 0) for c in ("expected", "got", "dropped")], value("reason") or "")
+
+        window = lambda row: (row[get["symbol"]], window_start(row[get["recv_ns"]], self.window_ns))
+        for (symbol, start), rows in itertools.groupby(iterator, key=window):
+            key = key_of(symbol, start)
+            if key in done:
+                raise Taken(f"{key} was closed before")
+            done.add(key)
+            files.append((store.stage(to_bytes([record(r) for r in rows], self.version)), key))
+        return _Written(files)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        store = Store(self.root)
+        files = sorted((x for m in messages if m for x in m.files), key=lambda x: x[1])
+        keys = [k for _, k in files]
+        taken = {k for k in keys if store.is_file(k)} | {a for a, b in zip(keys, keys[1:], strict=False) if a == b}
+        if taken:
+            self.abort(messages)
+            raise Taken(", ".join(sorted(taken)))
+        for staged, key in files:
+            store.place(staged, key)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        store = Store(self.root)
+        for m in messages:
+            for staged, _ in m.files if m else ():
+                store.drop(staged)
 
 
 class TapeSource(DataSource):
-    """``spark.dataSource.register(TapeSource)``, then ``spark.read.format("tapelog").load(window)``: one task for each file."""
-
     @classmethod
     def name(cls) -> str:
         return "tapelog"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMAS[self.options.get("mode", "records")]
 
     def reader(self, schema) -> DataSourceReader:
-        return TapeReader(self.options["path"])
+        wanted = {k: {self.options[k]} for k in ("symbol", "date", "hour") if self.options.get(k)}
+        kind = PruningReader if self.options.get("pushdown") == "true" else TapeReader
+        return kind(self.options["path"], self.options.get("mode", "records"), wanted)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("stored records are never rewritten: use mode append")
+        return TapeWriter(self.options["path"], int(self.options.get("version", columnar.VERSION)), int(self.options.get("window_ns", 300 * 10**9)), schema.fieldNames())

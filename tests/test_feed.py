@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from seqlake.functions import scalars as X
 from seqlake.operators import arrival, canonical, replay, sequence
 from seqlake.plans import registry
-from seqlake.sources import tapefile
 from seqlake.sources.fixture import records
 
 SF = "/root/testdata/sf0.001"
@@ -139,23 +138,6 @@ def test_exact_decimals(spark):
     assert got == {x: x if exactly(x) else None for x in found}
 
 
-def test_record_log_round_trip(spark, tmp_path):
-    folder = tmp_path / "v1" / "symbol=A"
-    folder.mkdir(parents=True)
-    sent = [tapefile.reseed(1, "connected"), tapefile.message(2, b'{"a": 1}'), tapefile.gap(3, 5, 9), tapefile.gap(4, 0, 0, 7), tapefile.message(5, b"\xff\x00")]
-    tapefile.write_file(str(folder / "a.tape"), sent)
-    tapefile.write_file(str(folder / "b.tape"), [tapefile.message(9, b"x")])
-    with pytest.raises(FileExistsError):
-        tapefile.write_file(str(folder / "b.tape"), [])
-    spark.dataSource.register(tapefile.TapeSource)
-    got = spark.read.format("tapelog").load(str(tmp_path)).orderBy("file_idx", "rec").collect()
-    assert [(r.file_idx, r.rec, r.kind, r.recv_ns) for r in got] == [(0, 0, "reseed", 1), (0, 1, "message", 2), (0, 2, "gap", 3), (0, 3, "gap", 4), (0, 4, "message", 5), (1, 0, "message", 9)]
-    assert bytes(got[4].raw) == b"\xff\x00" and int(got[3].dropped) == 7 and int(got[2].got) == 9
-    data = (folder / "a.tape").read_bytes()
-    with pytest.raises(ValueError):
-        list(tapefile.read_records(data[:-1]))
-
-
 def test_stream_equals_batch(spark, tmp_path):
     from seqlake.operators.arrival import running_count
     from seqlake.streaming.tracker import track
