@@ -64,11 +64,35 @@ def ramp(v: Column, most: Column) -> Column:
 
 
 def nanoseconds(text: Column) -> Column:
-    """Nanoseconds since 1970 of an RFC 3339 time in UTC; null where it is none."""
-    good = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?Z$")
+    """Nanoseconds since 1970 of an RFC 3339 time, in UTC or at an offset; null where it is none."""
+    good = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?(Z|[+-]\d\d:\d\d)$")
     seconds = F.unix_timestamp(F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
-    fraction = F.rpad(F.regexp_extract(text, r"\.(\d+)Z$", 1), 9, "0").cast("long")
-    return F.when(good, seconds * 1_000_000_000 + F.coalesce(fraction, F.lit(0)))
+    fraction = F.rpad(F.regexp_extract(text, r"\.(\d+)", 1), 9, "0").cast("long")
+    part = lambda i: F.regexp_extract(text, r"([+-])(\d\d):(\d\d)$", i)
+    offset = F.when(text.endswith("Z"), 0).otherwise((part(2).try_cast("int") * 3600 + part(3).try_cast("int") * 60) * F.when(part(1) == "-", -1).otherwise(1))
+    return F.when(good, (seconds - offset) * 1_000_000_000 + F.coalesce(fraction, F.lit(0)))
+
+
+#: The member of a frame that numbers it, and its digits.
+SEQUENCE = r'"sequence":([0-9]+)'
+
+
+def sequence_at(raw: Column) -> Column:
+    """How many bytes stand before the first sequence number's digits; null where there is none."""
+    before = F.regexp_extract(raw, r'(?s)^(.*?"sequence":)[0-9]', 1)
+    return F.when(before != "", F.octet_length(before).cast("long"))
+
+
+def with_sequence_advanced(raw: Column, by: Column) -> Column:
+    """The frame with its first sequence number ``by`` higher; a frame without one stays as it is."""
+    before, digits = F.regexp_extract(raw, r'(?s)^(.*?"sequence":)[0-9]', 1), F.regexp_extract(raw, SEQUENCE, 1)
+    number = (digits.try_cast("decimal(20,0)") + by).cast("decimal(20,0)").cast("string")
+    return F.when((before != "") & (by != 0), F.concat(before, number, raw.substr(F.length(before) + F.length(digits) + 1, F.length(raw)))).otherwise(raw)
+
+
+def valid_symbol(symbol: Column) -> Column:
+    """Whether a symbol can stand in a key: not empty, without ``/`` and ``=``."""
+    return F.coalesce((symbol != "") & ~symbol.rlike("[/=]"), F.lit(False))
 
 
 def time_text(ns: Column) -> Column:

@@ -101,3 +101,59 @@ def amplified(records: DataFrame, times: int) -> DataFrame:
     n = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("pass")
     rows = m.select("arrival", "product", "recv_us", "seq", n)
     return rows.select("pass", "arrival", "product", (F.col("recv_us") + F.col("pass") * F.lit((span or 0) + 1)).alias("recv_us"), (F.col("seq") + F.col("pass") * F.lit(seq_span or 0)).cast("long").alias("seq"))
+
+
+def session_summary(records: DataFrame, window_us: int) -> DataFrame:
+    """One row: everything a capture session counts over its records, and its rate (0 for no time)."""
+    from seqlake.functions.scalars import window_start
+    from seqlake.operators.sequence import classified
+
+    kind, span = F.col("kind"), F.max("recv_us") - F.min("recv_us")
+    one = records.agg(
+        F.count("*").alias("records"), count_if(kind == "message").alias("messages"), F.sum(F.octet_length(F.coalesce("raw", F.lit("")))).cast("long").alias("bytes"),
+        (F.count_distinct(window_start(F.col("recv_us"), window_us)) - 1).alias("rotations"), count_if(kind == "reseed").alias("reseeds"), count_if(kind == "gap").alias("gaps"),
+        count_if(F.col("bad").isin(1, 2)).alias("decode_errors"), count_if(F.coalesce(F.col("etype") == "error", F.lit(False))).alias("exchange_errors"), F.coalesce(F.sum("dropped"), F.lit(0)).cast("long").alias("dropped"),
+        F.when(span > 0, count_if(kind == "message") * 1e6 / span).otherwise(0.0).alias("rate"),
+    )
+    stale = classified(records, "contiguous").agg(count_if(F.col("anomaly") == "stale").alias("stale"))
+    return one.join(F.broadcast(stale)).withColumn("stale", F.coalesce("stale", F.lit(0)))  # one row each
+
+
+def product_metrics(records: DataFrame, anomalies: DataFrame, interval_us: int) -> DataFrame:
+    """``slot, product`` and, as in ``interval_metrics``, the figures of each product's intervals; ``anomalies`` are classified messages."""
+    slot = F.floor(F.col("recv_us") / interval_us).cast("long")
+    lag = F.abs(F.col("recv_us") - F.col("exch_us"))
+    m = records.where("product <> ''")
+    found = m.groupBy(slot.alias("slot"), "product").agg(count_if(F.col("kind") == "message").alias("messages"), F.count(lag).alias("lag_n"), F.sum(lag).alias("lag_sum"), F.min(lag).alias("lag_min"), F.max(lag).alias("lag_max"))
+    broken = anomalies.where("anomaly in ('gap', 'regression', 'reconnect_gap') and product <> ''").groupBy(slot.alias("slot"), "product").agg(F.count("*").alias("anomalies"))
+    ends = records.agg(F.min(slot).alias("a"), F.max(slot).alias("b"))
+    spine = m.select("product").distinct().join(F.broadcast(ends)).select("product", F.explode(F.sequence("a", "b")).alias("slot"))  # one row of ends
+    filled = spine.join(found, ["slot", "product"], "left").join(broken, ["slot", "product"], "left")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("messages", "anomalies", "lag_n")}
+    return filled.withColumns(zero).withColumn("rate", F.col("messages") / F.lit(interval_us / US))
+
+
+def product_datums(metrics: DataFrame) -> DataFrame:
+    """``slot, product, name, unit`` with a ``value``, or with the statistics ``n, total, least, most``; what was not measured is left out."""
+    none = "cast(null as bigint), cast(null as double), cast(null as double), cast(null as double)"
+    rows = F.expr(
+        f"stack(4, 'Messages', 'Count', cast(messages as double), {none}, 'MessageRate', 'Count/Second', rate, {none}, 'SequenceGaps', 'Count', cast(anomalies as double), {none},"
+        " 'IngestLag', 'Seconds', cast(null as double), lag_n, lag_sum / 1e6, lag_min / 1e6, lag_max / 1e6) as (name, unit, value, n, total, least, most)"
+    )
+    return metrics.select("slot", "product", rows).where("value is not null or n > 0")
+
+
+def timeline_columns(replay: DataFrame, width: int) -> DataFrame:
+    """``column, n``: message density on ``width`` columns between the first and the last record."""
+    first, last = replay.agg(F.min("recv_us"), F.max("recv_us")).first()
+    messages = replay.where("kind = 'message'")
+    origin = messages.agg(F.min_by("recv_us", "i")).first()[0]
+    off = F.greatest(F.col("recv_us") - F.lit(origin), F.lit(0))
+    step = 1000
+    widest = (messages.agg(F.max(off)).first()[0] or 0) if origin is not None else 0
+    while widest // step >= 4096:
+        step *= 2
+    at = F.lit(origin or 0) + F.floor(off / F.lit(step)) * step
+    span = max((last or 0) - (first or 0), 0)
+    column = F.least(F.greatest(F.floor((at - F.lit(first or 0)) * width / F.lit(span)), F.lit(0)), F.lit(width - 1)) if span else F.lit(0)
+    return messages.groupBy(column.cast("long").alias("column")).agg(F.count("*").alias("n"))

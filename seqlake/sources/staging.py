@@ -26,14 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. The table stays until ``drop`` or the driver's end."""
-    spark = df.sparkSession
+def claim(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted at the driver's end."""
     path = f"{shared_dir(spark)}/seqlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _LEFT:
         atexit.register(_drop_all)
     _LEFT[path] = spark
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back. The table stays until ``drop`` or the driver's end."""
+    spark, path = df.sparkSession, claim(df.sparkSession, name)
+    df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._seqlake_path = path
     return back
