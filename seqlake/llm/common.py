@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch: long texts must not add up to what a worker can't hold.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _LEFT: dict[str, SparkSession] = {}
 
 

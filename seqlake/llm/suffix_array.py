@@ -24,7 +24,7 @@ from seqlake.llm.common import arrow_schema, column, cut, drop, forget, map_batc
 
 KGRAM = 24
 #: Bytes of surroundings that a block takes; an anchor with more is split by the bytes around it.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Odd multipliers of the rolling and mixing hashes (fixed values).
 ROLL, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
