@@ -56,29 +56,38 @@ def words8(s: np.ndarray) -> np.ndarray:
 def sort_directly(s: np.ndarray, which: np.ndarray, depth: int | None = None) -> np.ndarray:
     """The suffixes of the bytes ``s`` at ``which``, in order of their first ``depth`` bytes (None: of all).
 
-    Each round compares eight bytes more, of ties alone; ties whose rest up to ``depth`` has one hash are done.
+    Each round compares the bytes that a number has room for beside its group's number, of ties alone; ties whose rest up to
+    ``depth`` has one hash are done.
     """
     packed, n = words8(s), len(s)
     sums = rolling_sums(s) if depth else None
     order = np.array(which, np.int64)
-    start, todo, at = np.zeros(len(order), np.int64), np.arange(len(order)), 0
+    # ``todo``: places of ``order`` that are not settled, by group; ``group``: their groups' numbers, from 0.
+    todo, group, at = np.arange(len(order)), np.zeros(len(order), np.uint64), 0
     while len(todo) and (depth is None or at < depth):
-        key = packed[np.minimum(order[todo] + at, n)]
-        by = np.lexsort((n - order[todo], key, start[todo])) if depth is None else np.lexsort((key, start[todo]))
-        order[todo] = order[todo][by]
-        key, group = key[by], start[todo]
-        over = order[todo] + at + 8 > n  # the text's end: a shorter suffix is the smaller one, and none has its length
+        bits = int(group[-1]).bit_length()
+        width = (64 - bits) // 8
+        here = order[todo]
+        key = packed[np.minimum(here + at, n)] >> np.uint64(64 - 8 * width)
+        if bits:
+            key |= group << np.uint64(8 * width)
+        by = np.argsort(key) if depth else np.lexsort((n - here, key))
+        here, key = here[by], key[by]
+        order[todo] = here
+        over = here + at + width > n  # the text's end: a shorter suffix is the smaller one, and none has its length
         new = np.ones(len(todo), bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1]) | over[1:] | over[:-1]
-        at += 8
+        new[1:] = (key[1:] != key[:-1]) | over[1:] | over[:-1]
+        at += width
         first = np.flatnonzero(new)
-        start[todo] = todo[first[np.cumsum(new) - 1]]
         size = np.diff(np.append(first, len(todo)))
         tied = size > 1
         if sums is not None and at >= 16 and tied.any():
-            rest = window_hash(sums, np.minimum(order[todo] + at, n), np.minimum(order[todo] + depth, n))
-            tied &= np.maximum.reduceat(rest, first) != np.minimum.reduceat(rest, first)
+            held = np.flatnonzero(np.repeat(tied, size))  # only ties are hashed
+            rest = window_hash(sums, np.minimum(here[held] + at, n), np.minimum(here[held] + depth, n))
+            ends = np.cumsum(size[tied]) - size[tied]
+            tied[tied] = np.maximum.reduceat(rest, ends) != np.minimum.reduceat(rest, ends)
         todo = todo[np.repeat(tied, size)]
+        group = np.repeat(np.arange(int(tied.sum()), dtype=np.uint64), size[tied])
     return order
 
 
