@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 AGE_US, ROWS, BYTES = 30_000_000, 4096, 4 << 20
 
 
-def batched(records: DataFrame, size: str, *, age_us: int = AGE_US, rows: int = ROWS, most_bytes: int = BYTES) -> DataFrame:
-    """``file_idx, rec, recv_us, kind, size, batch``: the batch of each record in its file; ``size`` names a column of bytes."""
+def batched(records: DataFrame, size: str, *, age_us: int = AGE_US, rows: int = ROWS, most_bytes: int = BYTES, window_us: int | None = None) -> DataFrame:
+    """``file_idx, rec, recv_us, kind, size, batch``: the batch of each record in its file; ``size`` names a column of bytes.
+
+    A batch also closes where the tumbling window of ``window_us`` changes, if there is one.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rec")
         batch, first, held, count, out = 0, None, 0, 0, []
+        window = lambda at: (at + 62_135_596_800_000_000) // window_us if window_us else 0  # noqa: E731  counted from the year 1
         for at, n in zip(pdf["recv_us"].tolist(), pdf["size"].tolist(), strict=True):
-            if count and at - first >= age_us:
+            if count and (at - first >= age_us or window(at) != window(first)):
                 batch, count, held = batch + 1, 0, 0
             if not count:
                 first = at

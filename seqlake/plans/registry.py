@@ -326,10 +326,10 @@ def canonical_digest(v: DataFrame) -> DataFrame:
 
 @query()
 def batch_footers(v: DataFrame) -> DataFrame:
-    """Greedy batches of at most 100 rows or six hours; a fold in order, so it has no SQL."""
+    """Greedy batches of at most 100 rows, six hours and one half-day window; a fold in order, so it has no SQL."""
     from seqlake.operators.batches import batched, footers
 
-    return footers(batched(v.withColumn("bytes", F.octet_length(F.coalesce("props", F.lit("")))), "bytes", age_us=21_600_000_000, rows=100))
+    return footers(batched(v.withColumn("bytes", F.octet_length(F.coalesce("raw", F.lit("")))), "bytes", age_us=21_600_000_000, rows=100, window_us=HALF_DAY))
 
 
 @query()

@@ -27,3 +27,5 @@ def test_batches(spark):
     near = spark.createDataFrame([(0, i, i * 1_000_000, "message", 10) for i in range(20)] + [(1, i, i * 7_500_000, "message", 10) for i in range(40)] + [(2, i, 0, "gap" if i == 7 else "message", 10) for i in range(4148)], "file_idx long, rec long, recv_us long, kind string, n long")
     found = footers(batched(near, "n")).groupBy("file_idx").count().collect()
     assert {r.file_idx: r["count"] for r in found} == {0: 1, 1: 10, 2: 2}
+    cut = footers(batched(near.where("file_idx = 0"), "n", window_us=5_000_000)).orderBy("batch").collect()
+    assert [(r.n, r.first_us) for r in cut] == [(5, 0), (5, 5_000_000), (5, 10_000_000), (5, 15_000_000)]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seqlake.functions.bits import crc32c
 from seqlake.operators.storage import census, storage_profile, totals
 from seqlake.sources import columnar, tapefile
+from seqlake.sources.hadoop import read_window
 from seqlake.sources.records import Record, exact
 from seqlake.sources.store import Store, Taken, Uploader, backoff, valid_symbol
 
@@ -122,6 +123,19 @@ def test_windows_of_both_formats(spark, tmp_path):
             spark.read.format("tapelog").options(**bad).load(str(tmp_path if bad else tmp_path / "none")).count()
 
 
+def test_windows_through_hadoop(spark, tmp_path):
+    """The same rows through Spark's own file systems."""
+    window(tmp_path / "deep" / "root")
+    spark.dataSource.register(tapefile.TapeSource)
+    plain = lambda df: Counter(str(tuple(r)) for r in df.collect())
+    own = spark.read.format("tapelog").load(str(tmp_path / "deep" / "root"))
+    for root in (str(tmp_path / "deep" / "root"), f"file://{tmp_path}/deep/root/"):
+        assert plain(read_window(spark, root)) == plain(own)
+    assert plain(read_window(spark, f"file://{tmp_path}/deep/root", symbol="B", hour="01")) == plain(own.where("symbol = 'B' and hour = '01'"))
+    with pytest.raises(FileNotFoundError):
+        read_window(spark, str(tmp_path / "deep"), symbol="C")
+
+
 def test_index_footers_and_profile(spark, tmp_path):
     files = {k: v for k, v in window(tmp_path).items()}
     spark.dataSource.register(tapefile.TapeSource)
