@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import cut
+from seqlake.llm.common import cut, drop
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = cut(small.where("u <> v").distinct(), "links")
+        done, links = links, cut(small.where("u <> v").distinct(), "links")
+        drop(done)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

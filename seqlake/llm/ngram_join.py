@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import arrow_schema, column, cut, forget, kept, map_batches, map_rows, texts, trim
+from seqlake.llm.common import arrow_schema, column, cut, drop, forget, kept, map_batches, map_rows, texts, trim
 from seqlake.llm.graph import components
 
 #: Counters of the sketch, n-grams of a block, words that a worker keeps, and rows up to which a table is broadcast.
@@ -276,12 +276,14 @@ def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
     firsts = map_rows(keyed.select("text"), prefixes, "token long, salt long, d1 long, size long", key).repartition(parts, "token", "salt")
     met = cut(map_batches(firsts, meet, "run long, d1 long, size long"), "met")
     shared = met.groupBy("run").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("run")
-    met = cut(met.join(shared, "run"), "met")
+    all_met, met = met, cut(met.join(shared, "run"), "met")
+    drop(all_met)
     n = F.col("size")
     smallest = F.ceil(n * percent / F.lit(100)).cast("long")
     least = ((smallest - F.ceil(smallest * percent / F.lit(100)) + 1) / 3).cast("long") + 1
     strong = met.groupBy("d1", "size").agg(F.countDistinct("run").alias("m")).where(F.col("m") >= least).select("d1")
-    met = cut(met.join(strong, "d1", "left_semi").select("run", "d1").distinct(), "strong")
+    shared_met, met = met, cut(met.join(strong, "d1", "left_semi").select("run", "d1").distinct(), "strong")
+    drop(shared_met)
     stars = met.groupBy("run").agg(F.min("d1").alias("b"))
     groups = components(met.join(stars, "run").select(F.col("d1").alias("a"), "b"))
     # A class goes by the number of one of its rows, as ids may be null or repeated.
@@ -327,6 +329,7 @@ def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
         return pd.DataFrame({"a": np.append(nodes[ends[:, 0]], nodes[some]), "b": np.append(nodes[ends[:, 1]], nodes[some]), "n": np.append(np.zeros(len(ends), np.int64), links[some])}, dtype="int64")
 
     verified = cut(meets.groupBy("grp", "lo", "hi").applyInPandas(verify, "a long, b long, n long"), "verified")
+    drop(met, candidates)
     linked = components(verified.where("a <> b").select("a", "b"))
     counts = verified.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     least = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
