@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,63 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqlake.sources.staging import cut, drop, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the setting is missing (one machine, tests) a local folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='seqlake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+__all__ = ["arrow_schema", "column", "crc32_mod", "cut", "drop", "forget", "kept", "map_batches", "map_rows", "shared_dir", "small_side", "spread", "table", "texts", "trim"]
 
-#: Bytes of an Arrow batch: long texts must not add up to what a worker can't hold.
-BATCH_BYTES = 4 << 20
-_LEFT: dict[str, SparkSession] = {}
 
-
-def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no work done before.
-
-    Tables stay until ``drop`` or the driver's end.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    if not _LEFT:
-        atexit.register(_drop_all)
-    _LEFT[path] = spark
-    back = spark.read.schema(df.schema).parquet(path)
-    back._seqlake_path = path
-    return back
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete written cuts that nothing reads any more."""
-    for df in tables:
-        _delete(getattr(df, "_seqlake_path", ""))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _delete(path: str) -> None:
-    spark = _LEFT.pop(path, None)
-    if spark is not None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+#: Bytes of an Arrow batch: long texts must not add up to what a worker can't hold. Rows up to which a table of a few numbers a
+#: row is broadcast: some 20 MB.
+BATCH_BYTES, SMALL = 4 << 20, 200_000
 
 
-def _drop_all() -> None:
-    for path in list(_LEFT):
-        with contextlib.suppress(Exception):  # the session may have ended before
-            _delete(path)
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are few; else it is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import arrow_schema, column, cut, drop, forget, kept, map_batches, map_rows, texts, trim
+from seqlake.llm.common import arrow_schema, column, cut, drop, forget, kept, map_batches, map_rows, small_side, texts, trim
 from seqlake.llm.graph import components
 
-#: Counters of the sketch, n-grams of a block, words that a worker keeps, and rows up to which a table is broadcast.
-COUNTERS, BLOCK, CACHED, SMALL = 1 << 18, 500_000, 150_000, 200_000
+#: Counters of the sketch, n-grams of a block, and words that a worker keeps.
+COUNTERS, BLOCK, CACHED = 1 << 18, 500_000, 150_000
 #: Rows of a meeting partition, and parts of a token that the sketch counts among the heaviest.
 MEETING, SALTS = 1_000_000, 64
 #: Odd multipliers (fixed values of a common 64-bit hash).
@@ -115,11 +115,6 @@ def shingle_rows(keyed: DataFrame, n: int) -> DataFrame:
     return map_batches(keyed, run, "kind int, id long, t long, size long, d1 long, d2 long", key)
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are few; else it is joined by shuffling."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def runs_of(token: np.ndarray, salt: np.ndarray, d1: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, d1, size): sets that share a token, cut where one is too small for the next larger one.
 
