@@ -6,7 +6,9 @@ each frame, and gives the timed frames as they are shown, each with a colour his
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from dataclasses import dataclass
 from functools import cache
 
@@ -224,9 +226,12 @@ def decode_gif(data: bytes) -> list[Frame]:
             index, box = index[:h, :w], (slice(top, top + h), slice(left, left + w))
             colours = np.zeros((256, 3), np.uint8)
             colours[: len(palette)] = palette
-            paint = index != clear_index
-            rgb[box][paint] = colours[index[paint]]
-            shown[box] |= paint
+            if clear_index < 0:
+                rgb[box], shown[box] = colours[index], True
+            else:
+                paint = index != clear_index
+                rgb[box][paint] = colours[index[paint]]
+                shown[box] |= paint
             frames.append(Frame(left, top, w, h, delay * 10, disposal, rgb.copy(), shown.copy()))
             if disposal == 2:
                 rgb[box], shown[box] = 0, False
@@ -261,37 +266,50 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
 #: A frame as shown: the whole canvas, row by row, with one channel if it is grey and three else; ``shown`` has a byte for each
 #: pixel, 0 where it is transparent, and is null where none is. The rectangle is what the frame drew.
 FRAMES = "array<struct<left:int,top:int,width:int,height:int,delay_ms:int,disposal:int,canvas_width:int,canvas_height:int,channels:int,pixels:binary,shown:binary,colour_sums:array<bigint>,histogram:array<int>>>"
-
-
-def frame_columns(f: Frame) -> dict:
-    grey = bool((f.rgb[..., 0] == f.rgb[..., 1]).all() and (f.rgb[..., 1] == f.rgb[..., 2]).all())
-    pixels = f.rgb[..., 0] if grey else f.rgb
-    seen = f.rgb[f.shown]
+PAYLOAD = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint"
+
+
+def frame_columns(f: Frame, pixels: bool) -> dict:
+    r, g, b = (f.rgb[..., i] for i in range(3))
+    grey, whole = bool((r == g).all() and (g == b).all()), bool(f.shown.all())
+    if grey:
+        counts = np.bincount(r.ravel() if whole else r[f.shown], minlength=256)
+        sums = [int(counts @ np.arange(256))] * 3
+        histogram = np.zeros(LEVELS**3, np.int64)
+        histogram[np.arange(LEVELS) * (LEVELS * LEVELS + LEVELS + 1)] = counts.reshape(LEVELS, -1).sum(1)
+    else:
+        sums, histogram = f.rgb[f.shown].sum(0, dtype=np.int64).tolist(), f.histogram()
     return {k: getattr(f, k) for k in ("left", "top", "width", "height", "delay_ms", "disposal")} | {
-        "canvas_width": f.rgb.shape[1], "canvas_height": f.rgb.shape[0], "channels": 1 if grey else 3, "pixels": pixels.tobytes(),
-        "shown": None if f.shown.all() else f.shown.tobytes(), "colour_sums": seen.sum(0, dtype=np.int64).tolist(), "histogram": f.histogram().tolist(),
+        "canvas_width": f.rgb.shape[1], "canvas_height": f.rgb.shape[0], "channels": 1 if grey else 3, "pixels": (r if grey else f.rgb).tobytes() if pixels else None,
+        "shown": None if whole else f.shown.tobytes(), "colour_sums": sums, "histogram": histogram.tolist(),
     }
 
 
-def read_frames(media: DataFrame, *, id_col: str = "doc_id", column_name: str = "media", keep: list[str] | None = None) -> DataFrame:
+def read_frames(media: DataFrame, *, id_col: str = "doc_id", column_name: str = "media", keep: list[str] | None = None, pixels: bool = True, payload: bool = False) -> DataFrame:
     """``id_col``, the columns ``keep`` and ``frames``: the timed frames of each GIF as shown, each with its colour sums and histogram.
 
-    Null or broken media have null frames. Repeated rows repeat; an empty table gives none.
+    ``pixels``: whether the canvas stands in the frames, too (it can be had from the media again). ``payload``: whether
+    ``payload_bytes, payload_sha256, tail_crc32`` of the grey samples that the frames drew are wanted. Null or broken media
+    have nulls. Repeated rows repeat; an empty table gives none.
     """
+    names = [id_col, *(keep or [])]
 
-    def frames(data: bytes | None) -> list[dict] | None:
+    def one(data: bytes | None) -> tuple:
         try:
-            return [frame_columns(f) for f in decode_gif(data)] if data else None
+            found = decode_gif(data) if data else None
         except (ValueError, IndexError, struct.error):
-            return None
-
-    names = [id_col, *(keep or [])]
+            found = None
+        if found is None:
+            return None, None, None, None
+        drawn = read_payload(found) if payload else b""
+        return [frame_columns(f, pixels) for f in found], len(drawn), hashlib.sha256(drawn).hexdigest(), zlib.crc32(drawn[-32:])
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        return {c: column(batch, c) for c in names} | {"frames": [frames(x) for x in column(batch, column_name).to_pylist()]}
+        read = [one(x) for x in column(batch, column_name).to_pylist()]
+        return {c: column(batch, c) for c in names} | {n: [r[i] for r in read] for i, n in enumerate(("frames", "payload_bytes", "payload_sha256", "tail_crc32"))}
 
     own = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in names)
-    return map_rows(media.select(*names, column_name), per_batch, f"{own}, frames {FRAMES}")
+    return map_rows(media.select(*names, column_name), per_batch, f"{own}, frames {FRAMES}{', ' + PAYLOAD if payload else ''}")
 
 
 def read_payload(frames: list[Frame]) -> bytes:
@@ -299,34 +317,31 @@ def read_payload(frames: list[Frame]) -> bytes:
     return b"".join(f.drawn()[:, :, 0].tobytes() for f in frames)
 
 
-#: The grey samples that frames of full width drew, one frame after another.
-PAYLOAD = "unhex(array_join(transform(frames, f -> hex(substring(f.pixels, f.top * f.canvas_width + 1, f.width * f.height))), ''))"
 #: Number of frames, their time, the mean of each channel, and the share of each bin of the colour histogram that has any (per mille).
 FEATURE = """concat('frames=', n, ';ms=', ms, ';mean=', array_join(transform(sums, x -> format_string('%.3f', x / total)), ','),
  ';bins=', array_join(transform(filter(sequence(0, size(bins) - 1), i -> bins[i] > 0), i -> concat(i, ':', bins[i] * 1000 div total)), ','))"""
 
 
 def digest_media(stored: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """``id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` of what ``store_texts`` and ``read_frames`` made.
+    """``id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` of stored columns, in SQL.
 
-    Everything comes from the stored columns, in SQL: ``n_bytes``, ``media_bytes``, ``media_sha256`` and ``frames``, whose
-    frames have the canvas's full width.
+    ``stored`` has the payload's and media's figures and ``frames``, whose colour sums and histograms make the feature.
     """
     added = lambda field, zero: f"aggregate(frames, {zero}, (a, f) -> zip_with(a, f.{field}, (x, y) -> x + y))"
     rows = stored.withColumns({
-        "payload": F.expr(PAYLOAD), "n": F.size("frames"), "ms": F.expr("aggregate(frames, 0, (a, f) -> a + f.delay_ms)"),
+        "n": F.size("frames"), "ms": F.expr("aggregate(frames, 0, (a, f) -> a + f.delay_ms)"),
         "sums": F.expr(added("colour_sums", "array(0L, 0L, 0L)")), "bins": F.expr(added("histogram", f"array_repeat(0L, {LEVELS**3})")),
     }).withColumn("total", F.expr("greatest(aggregate(bins, 0L, (a, x) -> a + x), 1L)"))
-    return rows.select(
-        id_col, "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
-        "media_bytes", "media_sha256", F.expr(FEATURE).alias("feature"),
-    )
+    return rows.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.expr(FEATURE).alias("feature"))
 
 
 def store_and_digest(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``digest_media`` of texts whose GIFs, and then the timed frames read from them, are written as tables."""
-    media = cut(store_texts(docs, id_col=id_col, text=text), "media")
+    """``digest_media`` of texts whose GIFs, and then the timed frames read from them with their histograms, are written as tables.
+
+    The frames are stored without their pixels, which the GIFs have.
+    """
+    media = cut(store_texts(docs, id_col=id_col, text=text), "media", compression="zstd")
     summed = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
-    frames = cut(read_frames(summed, id_col=id_col, keep=["n_bytes", "media_bytes", "media_sha256"]), "frames", compression="zstd")
+    frames = cut(read_frames(summed, id_col=id_col, keep=["n_bytes", "media_bytes", "media_sha256"], pixels=False, payload=True), "frames", compression="zstd")
     drop(media)
     return digest_media(frames, id_col=id_col)
