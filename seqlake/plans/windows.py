@@ -184,6 +184,23 @@ def policy_conservation(v: DataFrame) -> DataFrame:
     return out
 
 
+SERVICE = 600_000_000
+QUEUE = f"qu as (select product, arrival, recv_us, max(recv_us - {SERVICE} * n) over (partition by product order by arrival) + {SERVICE} * n as start_us from (select *, row_number() over (partition by product order by arrival) as n from v))"
+
+
+@query(f"select * from (with {QUEUE} select product, arrival, start_us from qu)")
+def policy_buffer(v: DataFrame) -> DataFrame:
+    """When a writer that needs ten minutes a record begins each, behind a queue without bounds; the SQL is the closed form."""
+    return P.simulate(v, "buffer", depth=4, service_us=SERVICE).select("product", "arrival", "start_us")
+
+
+@query(f"select * from (with {QUEUE} select a.product, a.recv_us // {DAY} as slot, max(n) as deepest from (select a.product, a.arrival, a.recv_us, (select count(*) from qu b where b.product = a.product and b.arrival < a.arrival and b.start_us + {SERVICE} > a.recv_us) as n from qu a) a group by all)")
+def queue_depths(v: DataFrame) -> DataFrame:
+    """The deepest queue of each product and day."""
+    rows = P.simulate(v, "buffer", depth=4, service_us=SERVICE)
+    return rows.groupBy("product", F.floor(F.col("recv_us") / DAY).cast("long").alias("slot")).agg(F.max("queued").alias("deepest"))
+
+
 @query()
 def policy_gaps(v: DataFrame) -> DataFrame:
     """One gap row for each run of dropped records; a simulation in order has no SQL."""

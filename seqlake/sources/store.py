@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import random
+import threading
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from io import BufferedIOBase
@@ -30,9 +32,11 @@ def valid_symbol(symbol: str) -> str:
 class Store:
     """Objects below ``root`` (a path or an address such as ``hdfs://`` or ``s3://``), by key."""
 
-    def __init__(self, root: str):
+    def __init__(self, root: str, filesystem: fs.FileSystem | None = None):
         self.root = root
-        if "://" in root:
+        if filesystem is not None:
+            self.fs, self.base = filesystem, root
+        elif "://" in root:
             self.fs, self.base = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
         else:
             self.fs, self.base = fs.LocalFileSystem(), os.path.abspath(root)
@@ -120,8 +124,27 @@ class Uploader:
     base: float = 0.5
     most: float = 30.0
     sleep: Callable[[float], None] = time.sleep
-    waiting: list[tuple[str, str]] = field(default_factory=list)
+    waiting: deque[tuple[str, str]] = field(default_factory=deque)
     events: list[dict] = field(default_factory=list)
+    thread: threading.Thread | None = None
+    closing: bool = False
+
+    def start(self) -> None:
+        """Upload beside whoever adds files, until ``close``."""
+
+        def work() -> None:
+            while not self.closing:
+                self.drain(float("inf")) if self.waiting else time.sleep(0.02)
+
+        self.thread = threading.Thread(target=work, daemon=True)
+        self.thread.start()
+
+    def close(self, seconds: float = 30.0) -> None:
+        """End the thread, if there is one, and upload what still waits for at most ``seconds``."""
+        self.closing = True
+        if self.thread:
+            self.thread.join(seconds)
+        self.drain(seconds)
 
     def add(self, path: str, key: str) -> bool:
         if len(self.waiting) >= self.queue:
@@ -134,7 +157,7 @@ class Uploader:
         """Upload what waits; what is not stored after ``seconds`` has failed."""
         until = time.monotonic() + seconds
         while self.waiting:
-            path, key = self.waiting.pop(0)
+            path, key = self.waiting.popleft()
             outcome, size, attempt = "failed", 0, 0
             while attempt < self.attempts and (not attempt or time.monotonic() < until):
                 attempt += 1
@@ -149,5 +172,5 @@ class Uploader:
                     break
                 except OSError:
                     if attempt < self.attempts:
-                        self.sleep(min(backoff(self.base, self.most, attempt - 1), max(until - time.monotonic(), 0)))
+                        self.sleep(max(min(backoff(self.base, self.most, attempt - 1), until - time.monotonic()), 0))
             self.events.append({"key": key, "outcome": outcome, "attempts": attempt, "bytes": size})

@@ -8,6 +8,7 @@ from the query's own filters.
 
 from __future__ import annotations
 
+import gzip
 import io
 import itertools
 from collections.abc import Iterator
@@ -217,3 +218,21 @@ class TapeSource(DataSource):
         if overwrite:
             raise ValueError("stored records are never rewritten: use mode append")
         return TapeWriter(self.options["path"], int(self.options.get("version", columnar.VERSION)), int(self.options.get("window_ns", 300 * 10**9)), schema.fieldNames())
+
+
+def transcode(source: Store, target: Store, version: int = columnar.VERSION) -> list[str]:
+    """Every window file of ``source`` as a file of ``version`` under the same key in ``target``; the keys. Files of a key that is taken are refused."""
+    keys = window_keys(source)
+    for key in keys:
+        with source.open(key) as raw, io.BufferedReader(raw, 1 << 18) as f:
+            target.put(key, to_bytes(list(read_records(f)), version))
+    return keys
+
+
+def materialize(packed: Store, target: Store) -> list[str]:
+    """Window files that are kept gzipped (``.tape.gz``), unpacked under their keys; the keys."""
+    keys = [k for k in packed.list() if k.endswith(f"{SUFFIX}.gz")]
+    for key in keys:
+        with packed.open(key) as raw:
+            target.put(key.removesuffix(".gz"), gzip.decompress(raw.read()))
+    return [k.removesuffix(".gz") for k in keys]

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
@@ -162,6 +162,24 @@ class Publisher:
             self.publish(slot)
 
 
+@dataclass
+class TableSink:
+    """A publisher's sink that appends an interval's datapoints to a Parquet table, one folder for each interval.
+
+    A set of statistics without observations is left out. An interval that is published again replaces its own folder.
+    """
+
+    spark: SparkSession
+    path: str
+    SCHEMA = "product string, name string, value double, n long, total double, least double, most double"
+
+    def __call__(self, slot: int, data: list[dict]) -> None:
+        names = [x.split()[0] for x in self.SCHEMA.split(", ")]
+        number = lambda v: float(v) if v is not None else None
+        rows = [tuple(d.get(c) if c in ("product", "name", "n") else number(d.get(c)) for c in names) for d in data if d.get("value") is not None or d.get("n")]
+        self.spark.createDataFrame(rows, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/slot={slot}")
+
+
 class Progress(StreamingQueryListener):
     """A bounded list of samples of how a query goes on: rows and rates of each trigger, the oldest let go."""
 
@@ -204,7 +222,7 @@ class Capture:
             if self.publisher:
                 self.publisher.close()
             if self.uploader:
-                self.uploader.drain()
+                self.uploader.close()
         return self.session
 
 

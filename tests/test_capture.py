@@ -76,11 +76,15 @@ def test_shed_frames_are_in_gap_rows(spark, feed, tmp_path):
     assert "gap" in kinds and kinds.index("gap") == 30
 
 
-def test_damaged_frames_are_kept_and_told(spark):
+def test_damaged_frames_are_kept_and_told(spark, tmp_path):
     rows = spark.createDataFrame([(1, "message", "P", 1, 5, '{"type":"error","message":"no"}', None), (2, "message", "P", 1, 6, "{", None)], "arrival long, kind string, product string, epoch long, recv_ns long, raw string, reason string")
     session = C.Session()
     session.add(rows.select(*rows.columns, F.lit(None).cast("string").alias("anomaly"), F.when(F.col("raw") == "{", "broken").alias("decode_error"), F.when(F.col("arrival") == 1, "no").alias("error_text"), F.lit(None).cast("long").alias("dropped")))
     assert (session.decode_errors, session.exchange_errors, session.warnings) == (1, 1, ["no", "broken"])
+    sink = C.TableSink(spark, str(tmp_path / "m"))
+    sink(7, [{"product": "P", "name": "Messages", "value": 3}, {"product": "P", "name": "IngestLag", "n": 0}])
+    sink(7, [{"product": "P", "name": "Messages", "value": 4}, {"product": "P", "name": "IngestLag", "n": 2, "total": 3.0, "least": 1.0, "most": 2.0}])
+    assert [(r.slot, r.name, r.value, r.n) for r in spark.read.parquet(sink.path).orderBy("name").collect()] == [(7, "IngestLag", None, 2), (7, "Messages", 4.0, None)]
     failing = C.Publisher(lambda slot, data: 1 / 0, 10)
     failing.open = {1: {"P": {"messages": 1, "gaps": 0, "lag_n": 0, "lag_sum": 0, "lag_least": None, "lag_most": None}}}
     failing.close()

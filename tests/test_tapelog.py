@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import random
 from collections import Counter
@@ -211,6 +212,42 @@ def test_uploads(tmp_path):
     assert backoff(1, 8, 10, lambda: 0.0) == 4 and backoff(1, 8, 0, lambda: 1.0) == 1
 
 
+def test_stores_elsewhere_and_uploads_beside(tmp_path):
+    """A file system that is no local disk; a thread that uploads while files are added."""
+    from pyarrow import fs
+
+    store = Store("bucket", fs._MockFileSystem())
+    store.put("v1/symbol=A/b.tape", b"1")
+    with pytest.raises(Taken):
+        store.put("v1/symbol=A/b.tape", b"2")
+    store.put("v1/symbol=A/a.tape", b"22")
+    assert store.list("v1/") == ["v1/symbol=A/a.tape", "v1/symbol=A/b.tape"] and store.list("v2/") == [] and store.size("v1/symbol=A/a.tape") == 2
+    with store.open("v1/symbol=A/b.tape") as f:
+        assert f.read() == b"1"
+    up = Uploader(Store(str(tmp_path / "s")))
+    up.start()
+    for i in range(5):
+        (tmp_path / str(i)).write_bytes(bytes([i]))
+        assert up.add(str(tmp_path / str(i)), f"k{i}")
+    up.close()
+    assert Counter(e["outcome"] for e in up.events) == {"uploaded": 5} and not up.waiting
+
+
+def test_transcoded_and_unpacked_windows(tmp_path):
+    files = {f"v1/symbol=A/{i}.tape": sample(80, i) for i in range(3)}
+    rows, columns, packed, out = (Store(str(tmp_path / n)) for n in ("rows", "columns", "packed", "out"))
+    for key, records in files.items():
+        rows.put(key, tapefile.to_bytes(records, 1))
+        packed.put(f"{key}.gz", gzip.compress(tapefile.to_bytes(records, 1)))
+    assert tapefile.transcode(rows, columns) == tapefile.materialize(packed, out) == sorted(files)
+    for key, records in files.items():
+        for store in (columns, out):
+            with store.open(key) as f:
+                assert list(tapefile.read_records(io.BytesIO(f.read()))) == records
+    with pytest.raises(Taken):
+        tapefile.transcode(rows, columns)
+
+
 @given(st.from_regex(r"-?[0-9]{0,21}(\.[0-9]{0,20})?", fullmatch=True))
 def test_exact(text):
     found = exact(text)
