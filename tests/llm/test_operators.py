@@ -258,6 +258,9 @@ def test_urls_follow_links_to_the_end(spark):
     con.register("pages", pages.toPandas())
     want = con.sql(f"select page_id, host, path, rule, verdict from ({queries.SQL['op6_url_filter']})").fetchall()
     assert Counter(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in got) == Counter(str((None if x[0] is None or x[0] != x[0] else int(x[0]), *x[1:])) for x in want)
+    rank, other = ({r.host: (r.trust, r.distrust, r.verdict) for r in found} for found in (got, url_filter.judge(pages, small=0).collect()))
+    floor = url_filter.FLOOR * url_filter.SETTLED / len(rank)
+    assert all(abs(a[0] - other[h][0]) <= floor and abs(a[1] - other[h][1]) <= floor and a[2] == other[h][2] for h, a in rank.items())
     rank = {r.host: r.distrust for r in got}
     chain = [rank[f"c{i}.org"] for i in range(31)]
     assert all(abs(a / b - url_filter.DAMPING) < 0.05 for a, b in zip(chain[20:], chain[21:], strict=False)) and chain[0] > 0
