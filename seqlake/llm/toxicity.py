@@ -156,103 +156,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     return train(chosen_p, chosen_u, toxic / n if n else 0.0)
 
 
-def score(self, places: np.ndarray) -> float:
-        z = self.bias
-        if len(self.places) and len(places):
-            at = np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)
-            z += float(self.weights[at[self.places[at] == places]].sum())
-        return float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
-
-
-class Rows:
-    """Sparse rows: places one after another, and where each row starts."""
-
-    def __init__(self, rows: list[np.ndarray]):
-        self.start = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.places = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-
-    def __len__(self) -> int:
-        return len(self.start) - 1
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """(row, place) of every entry, and the number of rows."""
-        return np.repeat(np.arange(len(self)), np.diff(self.start)), self.places, len(self)
-
-
-def telling(p: Rows, u: Rows) -> np.ndarray:
-    """The places whose share differs between toxic and unlabelled texts by more than chance: others only add noise."""
-    n_p, n_u = len(p), len(u)
-    found, at = np.unique(np.concatenate([p.places, u.places]), return_inverse=True)
-    of_p = np.bincount(at[: len(p.places)], minlength=len(found))
-    of_u = np.bincount(at[len(p.places) :], minlength=len(found))
-    share = (of_p + of_u) / (n_p + n_u)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
-    z = np.abs(of_p / n_p - of_u / n_u) / error
-    return found[z >= min(ERRORS, np.sort(z)[-min(LEAST, len(z))])] if len(z) else found
-
-
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """The classifier of least non-negative risk; with no toxic or no unlabelled text, every score is the prior."""
-    prior = min(max(prior, 1e-4), 0.9)
-    b, none = float(np.log(prior / (1 - prior))), np.zeros(0, np.int64)
-    if not positive or not unlabelled:
-        return Model(none, none.astype(float), b, prior)
-    chosen = telling(Rows(positive), Rows(unlabelled))
-    narrow = lambda rows: Rows([np.searchsorted(chosen, r[np.isin(r, chosen)]) for r in rows])
-    p, u = narrow(positive), narrow(unlabelled)
-    v, d = np.zeros(len(chosen)), len(chosen)
-    moment, square, moments = np.zeros(d + 1), np.zeros(d + 1), (0.9, 0.999)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    (ru, xu, n_u), (rp, xp, n_p) = u.entries(), p.entries()
-    for step in range(1, STEPS + 1):
-        zu, zp = np.bincount(ru, v[xu], n_u) + b, np.bincount(rp, v[xp], n_p) + b
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        du, dp = sigmoid(zu) / n_u, -prior * sigmoid(zp) / n_p
-        if negative >= -BETA:
-            dp = dp - prior * (1 - sigmoid(zp)) / n_p
-        else:
-            du, dp = -GAMMA * du, -GAMMA * dp
-        g = np.bincount(np.concatenate([xu, xp]), np.concatenate([du[ru], dp[rp]]), d) + DECAY * v
-        g = np.append(g, du.sum() + dp.sum())
-        moment += (1 - moments[0]) * (g - moment)
-        square += (1 - moments[1]) * (g * g - square)
-        change = RATE * (moment / (1 - moments[0] ** step)) / (np.sqrt(square / (1 - moments[1] ** step)) + 1e-8)
-        v -= change[:-1]
-        b -= float(change[-1])
-    return Model(chosen, v, b, prior)
-
-
-def place_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``places``: the distinct hashed words of each whole text, as little-endian unsigned 32-bit numbers."""
-    key = uuid.uuid4().hex
-
-    def per_batch(batch: pa.RecordBatch) -> dict:
-        places = kept(key, Places)
-        return {"places": [places.of(x).astype("<u4").tobytes() for x in texts(batch, text)]}
-
-    return map_rows(docs.select(text), per_batch, "places binary", key)
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Learn from the rows where ``learn`` holds; ``labels`` has ``id_col`` and ``label`` (1: toxic).
-
-    The prior is the share of toxic rows among the labelled ones. At most ``positives`` confirmed texts are taken, by a hash
-    of the id, and about ``unlabelled`` others, by a hash of the text; the labels of the unlabelled ones are not looked at.
-    """
-    known = labels.where(learn).where(F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("__label"))
-    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("__label"), F.lit(0))).first()
-    rows = docs.where(learn).select(id_col, text).where(f"`{text}` is not null and `{text}` <> ''")
-    key = F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    # So many ids at most: they can be sent to every task, and no text is shuffled.
-    confirmed = known.where("__label = 1").select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(positives)
-    count = rows.count()
-    pick = lambda df: [r[0] for r in place_rows(df, text).collect()]
-    chosen_p = pick(rows.join(F.broadcast(confirmed), id_col, "left_semi")) if toxic else []
-    chosen_u = pick(rows.where(key < min(1.0, unlabelled / max(count, 1)))) if count else []
-    as_rows = lambda found: [np.frombuffer(x, "<u4").astype(np.int64) for x in sorted(map(bytes, found))]
-    return train(as_rows(chosen_p), as_rows(chosen_u), toxic / n if n else 0.0)
-
-
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col, score`` of every whole text: how likely label 1 is, 0 to 1.
 
