@@ -15,35 +15,62 @@ POLYNOMIAL = 0x82F63B78
 
 @functools.cache
 def _tables() -> np.ndarray:
-    """For each of eight places the checksum's change by a byte there."""
+    """A checksum's change by each byte."""
     one = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         one = np.where(one & 1, (one >> 1) ^ np.uint32(POLYNOMIAL), one >> 1)
-    out = [one]
-    for _ in range(7):
-        out.append((out[-1] >> 8) ^ one[out[-1] & 0xFF])
-    return np.stack(out)
+    return one
 
 
-@functools.cache
-def _lists() -> list[list[int]]:
-    return _tables().tolist()
+#: Bytes from which a text is worked on in lanes, and lanes at once.
+WIDE, LANES = 1 << 14, 1 << 10
+
+
+def _step(crc: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return _tables()[(crc ^ byte) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+
+
+@functools.lru_cache(64)
+def _past(n: int) -> tuple[list[list[int]], ...]:
+    """What ``n`` zero bytes make of each byte of a checksum: four tables, as the change is linear in its bits."""
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    image, square = bits.copy(), np.array([_step(np.array([b]), np.zeros(1, np.uint32))[0] for b in bits])
+
+    def times(matrix: np.ndarray, values: np.ndarray) -> np.ndarray:
+        chosen = (values[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+        return np.bitwise_xor.reduce(np.where(chosen == 1, matrix[None], np.uint32(0)), axis=1)
+
+    while n:
+        if n & 1:
+            image = times(square, image)
+        square, n = times(square, square), n >> 1
+    return tuple(times(image, np.arange(256, dtype=np.uint32) << np.uint32(8 * k)).tolist() for k in range(4))
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C (Castagnoli): eight bytes a step, from one table for each place."""
-    t = _lists()
-    t0, t1, t2, t3, t4, t5, t6, t7 = t
-    crc = 0xFFFFFFFF
-    whole = len(data) - len(data) % 8
-    for word in np.frombuffer(data, "<u8", whole // 8).tolist():
-        x = word ^ crc
-        crc = t7[x & 255] ^ t6[x >> 8 & 255] ^ t5[x >> 16 & 255] ^ t4[x >> 24 & 255] ^ t3[x >> 32 & 255] ^ t2[x >> 40 & 255] ^ t1[x >> 48 & 255] ^ t0[x >> 56]
-    for b in data[whole:]:
-        crc = t0[(crc ^ b) & 255] ^ (crc >> 8)
+    """CRC-32C (Castagnoli). Long data is cut into lanes that go on side by side, and whose checksums are put together after."""
+    raw, crc = np.frombuffer(data, np.uint8), 0xFFFFFFFF
+    if len(raw) >= WIDE:
+        size = len(raw) // LANES
+        lanes = raw[: size * LANES].reshape(LANES, size).T.astype(np.uint32)
+        each = np.zeros(LANES, np.uint32)
+        for column in lanes:
+            each = _step(each, column)
+        t0, t1, t2, t3 = _past(size)
+        for own in each.tolist():
+            crc = t0[crc & 255] ^ t1[crc >> 8 & 255] ^ t2[crc >> 16 & 255] ^ t3[crc >> 24] ^ own
+        raw = raw[size * LANES :]
+    one = _byte_table()
+    for b in raw.tolist():
+        crc = one[(crc ^ b) & 255] ^ (crc >> 8)
     return crc ^ 0xFFFFFFFF
 
 
+@functools.cache
+def _byte_table() -> list[int]:
+    return _tables().tolist()
+
+
 def crc32c_of(data: Column) -> Column:
     """CRC-32C of a binary column as a long; null for null."""
 

@@ -60,8 +60,8 @@ def indexed(df: DataFrame, name: str, order: list[str], *, parts: int | None = N
     part = F.shiftright("__at", 33)
     counts = {r[0]: r[1] for r in rows.groupBy(part).count().collect()}
     before, starts = 0, []
-    for k in sorted(counts):
-        starts += [F.lit(k), F.lit(before)]
-        before += counts[k]
-    start = F.create_map(*starts)[part] if starts else F.lit(0)
+    for k in range(max(counts, default=-1) + 1):
+        starts.append(before)
+        before += counts.get(k, 0)
+    start = F.lit(starts or [0])[part.cast("int")]  # one number for each range
     return rows.withColumn(name, (start + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__at")

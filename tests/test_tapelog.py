@@ -52,7 +52,7 @@ def test_numbers(unsigned, signed):
 
 
 def test_checksum_of_a_bit_by_bit_one():
-    for n in (0, 1, 7, 8, 9, 64, 1001):
+    for n in (0, 1, 7, 8, 9, 64, 1001, 1 << 14, 20011):
         data, crc = random.Random(n).randbytes(n), 0xFFFFFFFF
         for byte in data:
             crc ^= byte
