@@ -324,17 +324,16 @@ def canonical_digest(v: DataFrame) -> DataFrame:
     return lines(R.ordered(v)).select("i", F.sha2("line", 256).alias("sha256"))
 
 
-@query()
+WINDOW = f"(({{0}}.recv_us + 62135596800000000) // {HALF_DAY})"
+GREEDY = f"""bs as (select file_idx, cast(0 as bigint) as batch, cast(0 as bigint) as s from v group by file_idx
+  union all select bs.file_idx, bs.batch + 1, min(n.rec) from bs join v f on f.file_idx = bs.file_idx and f.rec = bs.s join v n on n.file_idx = bs.file_idx and n.rec > bs.s
+    and (n.rec >= bs.s + 100 or n.recv_us - f.recv_us >= 21600000000 or {WINDOW.format("n")} <> {WINDOW.format("f")}) group by bs.file_idx, bs.batch),
+  rg as (select *, coalesce(lead(s) over (partition by file_idx order by batch), 9223372036854775807) as e from bs)"""
+
+
+@query(f"select * from (with recursive {GREEDY} select rg.file_idx, rg.batch, count(*) as n, min(recv_us) as first_us, max(recv_us) as last_us, bool_or(kind = 'gap') as has_gap, bool_or(kind = 'reseed') as has_reseed from rg join v on v.file_idx = rg.file_idx and v.rec >= rg.s and v.rec < rg.e group by all)")
 def batch_footers(v: DataFrame) -> DataFrame:
-    """Greedy batches of at most 100 rows, six hours and one half-day window; a fold in order, so it has no SQL."""
+    """Greedy batches of at most 100 rows, six hours and one half-day window; the SQL goes from one batch's start to the next."""
     from seqlake.operators.batches import batched, footers
 
     return footers(batched(v.withColumn("bytes", F.octet_length(F.coalesce("raw", F.lit("")))), "bytes", age_us=21_600_000_000, rows=100, window_us=HALF_DAY))
-
-
-@query()
-def policy_drop(v: DataFrame) -> DataFrame:
-    """What a writer that needs ten minutes a record keeps behind a queue of four; a simulation in order, so it has no SQL."""
-    from seqlake.operators.policies import simulate
-
-    return simulate(v, "drop", depth=4, service_us=600_000_000)

@@ -201,18 +201,36 @@ def queue_depths(v: DataFrame) -> DataFrame:
     return rows.groupBy("product", F.floor(F.col("recv_us") / DAY).cast("long").alias("slot")).agg(F.max("queued").alias("deepest"))
 
 
-@query()
+#: A queue of four that sheds, record by record: the ends of what waits are its state.
+SHED = f"""od as (select *, row_number() over (partition by product order by arrival) as n from v),
+  sh as (select product, n, arrival, recv_us, kind, cast(0 as bigint) as queued, true as kept, recv_us as start_us, [recv_us + {SERVICE}] as ends, recv_us + {SERVICE} as last from od where n = 1
+    union all select product, n, arrival, recv_us, kind, cast(len(w) as bigint), stays, case when stays then s end, case when stays then list_append(w, s + {SERVICE}) else w end, case when stays then s + {SERVICE} else last end
+    from (select *, not (len(w) >= 4 and kind = 'message') as stays, greatest(recv_us, last) as s from
+      (select od.product, od.n, od.arrival, od.recv_us, od.kind, list_filter(sh.ends, lambda e: e > od.recv_us) as w, sh.last from sh join od on od.product = sh.product and od.n = sh.n + 1)))"""
+
+
+@query(f"select * from (with recursive {SHED} select arrival, product, kind, recv_us, kept, start_us, queued from sh)")
+def policy_drop(v: DataFrame) -> DataFrame:
+    """What a writer that needs ten minutes a record keeps behind a queue of four; the SQL goes record by record."""
+    return P.simulate(v, "drop", depth=4, service_us=SERVICE)
+
+
+@query(f"select * from (with recursive {SHED}, rn as (select *, coalesce(sum(cast(kept as bigint)) over (partition by product order by arrival rows between unbounded preceding and 1 preceding), 0) as run from sh) select product, min(recv_us) filter (not kept) as at_us, count(*) filter (not kept) as dropped, min(arrival) filter (kept) as next_arrival from rn group by product, run having count(*) filter (not kept) > 0)")
 def policy_gaps(v: DataFrame) -> DataFrame:
-    """One gap row for each run of dropped records; a simulation in order has no SQL."""
-    return P.gap_rows(P.simulate(v, "drop", depth=4, service_us=600_000_000))
+    """One gap row for each run of dropped records."""
+    return P.gap_rows(P.simulate(v, "drop", depth=4, service_us=SERVICE))
 
 
-@query()
+DEPTHS = f"dp as (select a.*, (select count(*) from qu b where b.product = a.product and b.arrival < a.arrival and b.start_us + {SERVICE} > a.recv_us) as n from qu a)"
+RUNS = "select 'drop' as policy, recv_us, start_us, kept, queued from sh union all select 'buffer', recv_us, start_us, true, n from dp union all select 'block', recv_us, start_us, true, least(n, 4) from dp"
+
+
+@query(f"select * from (with recursive {SHED}, {QUEUE}, {DEPTHS}, rs as ({RUNS}), sm as (select policy, count(*) as offered, count(*) filter (kept) as written, max(queued) as peak_depth, (greatest(max(recv_us), max(start_us)) - min(recv_us)) / 1e6 as seconds from rs group by policy) select *, offered - written as dropped, (offered - written) / offered as loss, offered / seconds as offered_rate, written / seconds as written_rate from sm)")
 def bench_results(v: DataFrame) -> DataFrame:
     """Offered and written rates, loss and the deepest queue of each policy."""
     out = None
     for policy in P.POLICIES:
-        one = P.bench_result(P.simulate(v, policy, depth=4, service_us=600_000_000)).withColumn("policy", F.lit(policy))
+        one = P.bench_result(P.simulate(v, policy, depth=4, service_us=SERVICE)).withColumn("policy", F.lit(policy))
         out = one if out is None else out.unionByName(one)
     return out
 

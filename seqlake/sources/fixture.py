@@ -64,9 +64,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"EVENTS": "{events}", "US": "unix_micros(cast(ts as timestamp))", "STR": "string", "N": "n", "TIME": "date_format(timestamp_micros(exch_us), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"}
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     flagged = spark.sql(f"{FLAGS} from ({EVENTS.format(**names)})", events=events)
-    per_file = flagged.where("has_seq").groupBy("file_idx", "account").agg(F.count("*").alias("n"))
-    before = per_file.withColumn("before", F.sum("n").over(Window.partitionBy("account").orderBy("file_idx")) - F.col("n"))
-    before = before.groupBy("file_idx").agg(F.map_from_entries(F.collect_list(F.struct("account", "before"))).alias("before"))
+    accounts = [f"P{i}" for i in range(4)]
+    per_file = flagged.groupBy("file_idx").agg(*[F.sum(F.expr(f"cast(has_seq and account = '{a}' as long)")).alias(a) for a in accounts])
+    earlier = Window.orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
+    before = per_file.select("file_idx", *[F.coalesce(F.sum(a).over(earlier), F.lit(0)).alias(a) for a in accounts])
     here = F.row_number().over(Window.partitionBy("file_idx", "account", "has_seq").orderBy("rec"))
-    numbered = flagged.repartition("file_idx").withColumn("n", here).join(before, "file_idx", "left").withColumn("n", F.col("n") + F.col("before")[F.col("account")])
+    own = F.coalesce(*[F.when(F.col("account") == a, F.col(a)) for a in accounts])
+    numbered = flagged.repartition("file_idx").withColumn("n", here).join(before, "file_idx").withColumn("n", F.col("n") + own).drop(*accounts)
     return spark.sql(f"{RECORDS.format(**names)} from ({NUMBERS.format(**names)} from {{t}})", t=numbered)
