@@ -84,6 +84,28 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+class Cache(dict):
+    """What ``find`` returns for a key. Of ``most`` keys and more, those that were not asked for since the last ``most`` are let go.
+
+    Keys longer than ``longest`` are not kept.
+    """
+
+    def __init__(self, find: Callable, most: int, longest: int):
+        super().__init__()
+        self.find, self.most, self.longest, self.older = find, most, longest, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 _KEPT: dict[str, object] = {}
 
 

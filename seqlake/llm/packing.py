@@ -18,14 +18,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import column, cut, kept, map_rows, texts
+from seqlake.llm.common import Cache, column, cut, kept, map_rows, texts
 
 #: Tokens of a sequence, tokens of a length class, and the share by which the program may miss its bound.
 LENGTH, STEP, GAP = 2048, 8, 1e-3
 #: Steps of the linear program for each class at most; every step leaves a cover that can be used.
 STEPS = 8
 #: Pieces that are ranked together, rows up to which a table is broadcast, and cached words of a worker.
-RANKED, SMALL, CACHED = 50_000, 100_000, 120_000
+RANKED, SMALL, CACHED = 50_000, 100_000, 400_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -38,7 +38,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordIds(dict):
+class WordIds:
     """White-space separated chunk to its token ids (packed little-endian), as the library gives them for whole texts.
 
     The vocabulary's own steps (fold white space, lower-case, split words) never look across white space, so a text's ids are
@@ -51,33 +51,23 @@ class WordIds(dict):
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
         self.whole = Tokenizer.from_str(vocabulary)
-        self.model, self.words, self.letters = self.whole.model, {}, byte_letters()
+        self.model, self.letters = self.whole.model, byte_letters()
+        self.chunks, self.words = Cache(self.chunk, CACHED, 48), Cache(self.word, CACHED, 48)
 
-    def __missing__(self, chunk: str) -> bytes:
+    def chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         if chunk.isprintable() and max(chunk) < "ɐ" and "<|" not in chunk:
-            found = b"".join(self.words.get(w) or self.word(w) for w in self.WORDS.findall(chunk.lower()))
-        else:
-            found = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHED:
-            self.clear()
-            self[""] = b""
-        if len(chunk) <= 48:
-            self[chunk] = found
-        return found
+            return b"".join(map(self.words.__getitem__, self.WORDS.findall(chunk.lower())))
+        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
         letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        if len(self.words) >= CACHED:
-            self.words.clear()
-        if len(word) <= 48:
-            self.words[word] = ids
-        return ids
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
 
     def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, *, end_id: int = 1, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ PRETOKEN = re.compile(" +[^ ]*")
 TABLE_ROWS, SUMMARY_ROWS = 32_768, 8_192
 #: Distinct pre-tokens that a partition counts at once before it forgets the rarest, cached lengths in a worker, and the
 #: longest pre-token kept in either.
-COUNTED, CACHED, LONGEST = 200_000, 150_000, 48
+COUNTED, CACHED, LONGEST = 200_000, 200_000, 48
 #: Summaries that are merged at once.
 MERGED = 32
 
@@ -46,13 +46,16 @@ class Lengths(dict):
         import sentencepiece
 
         super().__init__(known or {})
-        self.encoder, self.tier_one, self.misses = sentencepiece.SentencePieceProcessor(model_proto=model), known or {}, 0
+        self.encoder, self.tier_one, self.older, self.misses = sentencepiece.SentencePieceProcessor(model_proto=model), known or {}, {}, 0
 
     def __missing__(self, pretoken: str) -> int:
-        # The library adds the first space itself; a lone space is the one piece that this can't ask for.
-        n = 1 if pretoken == " " else len(self.encoder.encode(pretoken[1:], num_threads=1))
+        n = self.older.get(pretoken)
+        if n is None:
+            # The library adds the first space itself; a lone space is the one piece that this can't ask for.
+            n = 1 if pretoken == " " else len(self.encoder.encode(pretoken[1:], num_threads=1))
         if len(pretoken) <= LONGEST:
-            if self.misses >= CACHED:
+            if self.misses >= CACHED:  # what was not asked for since the last time is let go
+                self.older = dict(self)
                 self.clear()
                 self.update(self.tier_one)
                 self.misses = 0
