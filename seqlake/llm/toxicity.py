@@ -63,7 +63,7 @@ class Model:
 
 
 class Rows:
-    """Sparse rows: places one after another, and where each row starts."""
+    """Sparse rows: places one after another (as the rows have them, or 64-bit), and where each row starts."""
 
     def __init__(self, rows: list[np.ndarray]):
         self.start = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
@@ -80,9 +80,11 @@ class Rows:
 def telling(p: Rows, u: Rows) -> np.ndarray:
     """The places whose share differs between toxic and unlabelled texts by more than chance: others only add noise."""
     n_p, n_u = len(p), len(u)
-    found, at = np.unique(np.concatenate([p.places, u.places]), return_inverse=True)
-    of_p = np.bincount(at[: len(p.places)], minlength=len(found))
-    of_u = np.bincount(at[len(p.places) :], minlength=len(found))
+    own_p, times_p = np.unique(p.places, return_counts=True)
+    own_u, times_u = np.unique(u.places, return_counts=True)
+    found = np.union1d(own_p, own_u).astype(np.int64)
+    of_p, of_u = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    of_p[np.searchsorted(found, own_p)], of_u[np.searchsorted(found, own_u)] = times_p, times_u
     share = (of_p + of_u) / (n_p + n_u)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
     z = np.abs(of_p / n_p - of_u / n_u) / error
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc
     def pick(df: DataFrame, most: int) -> list[np.ndarray]:
         """Only words' numbers are shuffled, one row for each text drawn."""
         drawn = place_rows(df, text).dropDuplicates(["k"]).orderBy("k").limit(most)
-        return [np.frombuffer(r["places"], "<u4").astype(np.int64) for r in drawn.collect()]
+        return [np.frombuffer(r["places"], "<u4") for r in drawn.toLocalIterator()]
 
     chosen_p = pick(rows.join(F.broadcast(confirmed), id_col, "left_semi"), positives) if toxic else []
     different = rows.agg(F.approx_count_distinct("k", 0.02)).first()[0]
