@@ -53,7 +53,7 @@ def storage_key(symbol: Column, start_us: Column) -> Column:
 
 
 def window_start(at_us: Column, window_us: int) -> Column:
-    """Start of the tumbling window, counted from the year 1 as the reference clock does, not from 1970."""
+    """Start of the tumbling window, counted from the year 1, not from 1970."""
     origin = 62_135_596_800_000_000
     return (at_us - F.pmod(at_us + F.lit(origin), F.lit(window_us))).cast("long")
 

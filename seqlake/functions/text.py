@@ -130,7 +130,7 @@ def layout(width: int) -> list[str]:
 
 
 def pretty(width: int) -> Column:
-    """A replayed record as a row, or as a banner of ``width`` where the feed broke."""
+    """A replayed record as a row, or as a banner of ``width`` where the feed broke. The banners' words are fixed values."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     cells = {"time": padded(clock(F.col("exch_us"), F.col("recv_us")), 12), "channel": padded(text("channel"), 12), "type": padded(text("etype"), 13), "sequence": padded(text("seq"), 13), "side": padded(text("side"), 4), "price": padded_left(text("price_text"), 11), "size": padded_left(text("size_text"), 12)}
     row = F.rtrim(F.concat_ws(" ", *[cells[c] for c in layout(width)]))
@@ -143,7 +143,7 @@ def pretty(width: int) -> Column:
 
 
 def discontinuity_text(time: Column) -> Column:
-    """What broke, where and when, of ``kind, file_idx, rec, dropped, expected, got, reason``."""
+    """What broke, where and when, of ``kind, file_idx, rec, dropped, expected, got, reason``. The sentences are fixed values."""
     where = F.concat(F.lit(" at file "), F.col("file_idx").cast("string"), F.lit(" record "), F.col("rec").cast("string"), F.lit(": "))
     n = lambda c: c.cast("string")
     shed = F.concat(F.lit("gap"), where, F.lit("capture dropped "), n(F.col("dropped")), F.lit(" frames at "), time)

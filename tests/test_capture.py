@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import pytest
@@ -39,8 +40,15 @@ def test_stream_equals_batch_and_counts_hold(spark, feed, tmp_path, mode):
     published = []
     publisher = C.Publisher(lambda slot, data: published.append((slot, data)), interval_ns=50 * 10**6)
     stream = feed(count=400, batch=70, skip_after="100:5,257:2", sever_after="180,300")
+    progress = C.Progress(most=3)
+    spark.streams.addListener(progress)
     run = C.capture(stream, str(tmp_path / "out"), str(tmp_path / "ck"), mode=mode, trigger={"processingTime": "0 seconds"}, publisher=publisher)
     session = run.finish()
+    for _ in range(100):
+        if not progress.ended:
+            time.sleep(0.1)
+    spark.streams.removeListener(progress)
+    assert 0 < len(progress.samples) <= 3 and progress.ended == [None] and all(s["rows"] >= 0 for s in progress.samples)
     rows = stored(spark, str(tmp_path / "out"))
     messages = rows.where("kind = 'message'")
     assert (messages.count(), session.messages, session.reseeds) == (400, 400, 3) and session.records == rows.count()
