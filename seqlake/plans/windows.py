@@ -26,7 +26,8 @@ def stored(v: DataFrame, version: int) -> str:
     root = claim(spark, "window")
     wide = lambda c: F.col(c).cast("decimal(20,0)").alias(c)
     rows = v.select(F.lit("FEED").alias("symbol"), "kind", (F.col("recv_us") * 1000).alias("recv_ns"), F.col("raw").cast("binary").alias("raw"), wide("expected"), wide("got"), wide("dropped"), "reason", X.window_start(F.col("recv_us"), DAY).alias("day"), "arrival")
-    dealt = rows.repartition("symbol", "day").sortWithinPartitions("day", "arrival").drop("day", "arrival")
+    # Encoding takes long for few bytes, so the files are dealt to a fixed number of tasks.
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "symbol", "day").sortWithinPartitions("day", "arrival").drop("day", "arrival")
     dealt.write.format("tapelog").mode("append").options(version=version, window_ns=DAY * 1000).save(root)
     return root
 

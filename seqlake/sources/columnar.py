@@ -116,7 +116,13 @@ def summed(data: bytes) -> np.ndarray:
 
 
 def varint(n: int) -> bytes:
-    return to_varints(np.array([n], np.uint64))
+    """One number; far cheaper than an array of one."""
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
 
 
 class Walk:
