@@ -3,8 +3,9 @@
 Texts with equal n-gram sets form a class; classes are joined. Two sets as similar as asked must share a token among the
 first ``p(n) = n - ceil(s n) + 1`` of each under any total order of all tokens, and ``e + 1`` tokens if ``e`` more of each
 are looked at. The first order puts the corpus's rare tokens first (by a fixed-size count sketch over all documents): its
-prefixes, a third longer, meet by token, and only classes that share enough tokens with classes of fitting size go on,
-grouped by what they share. Within a group a pair must also share prefix tokens under two other orders, and only pairs that
+prefixes, a third longer, meet by token, and only classes that share enough tokens with one class of fitting size go on,
+grouped by such pairs: tokens that two classes have in common by chance, more of them in a larger corpus, hold no group
+together. Within a group a pair must also share prefix tokens under two other orders, and only pairs that
 pass all three filters are verified, every one of them and each in one task: links are counted, not only what connects.
 Where a prefix meets most sets of its group, all sets of fitting size are verified and the filters left out. Large groups
 are cut into blocks that meet pairwise, so that no task holds more than two blocks; a task returns a sum of links for each
@@ -31,6 +32,8 @@ from seqlake.llm.graph import components
 COUNTERS, BLOCK, CACHED = 1 << 18, 500_000, 150_000
 #: Rows of a meeting partition, and parts of a token that the sketch counts among the heaviest.
 MEETING, SALTS = 1_000_000, 64
+#: Rows of a block in which shared tokens are counted, and sets of a token beyond which they are taken together uncounted.
+LISTED, DENSE = 500_000, 1_000
 #: Odd multipliers (fixed values of a common 64-bit hash).
 MULTIPLIERS = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -138,6 +141,83 @@ def runs_of(token: np.ndarray, salt: np.ndarray, d1: np.ndarray, size: np.ndarra
     return name[go], d1[go], size[go]
 
 
+def near_edges(part: np.ndarray, run: np.ndarray, d1: np.ndarray, size: np.ndarray, percent: int, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """(d1, d1): edges that connect every two sets of a part which have fitting sizes and share as many runs as similar ones must.
+
+    The sets of a run of more than ``dense`` are all connected; two that share no such run share only what is counted.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(part):
+        return none, none
+    by = np.lexsort((d1, size, part))  # so a set's partners among earlier sets are the smaller ones
+    new = np.append(True, (part[by][1:] != part[by][:-1]) | (size[by][1:] != size[by][:-1]) | (d1[by][1:] != d1[by][:-1]))
+    node = np.empty(len(by), np.int64)
+    node[by] = np.cumsum(new) - 1
+    own, n = d1[by][new], size[by][new]
+    by = np.lexsort((node, run, part))
+    held, group, token = node[by], part[by], run[by]
+    first = np.append(True, (group[1:] != group[:-1]) | (token[1:] != token[:-1]))
+    start = np.flatnonzero(first)
+    sets = np.diff(np.append(start, len(held)))
+    big = np.repeat(sets > dense, sets)
+    a, b = own[held[np.repeat(start, sets)[big]]], own[held[big]]
+    held, start = held[~big], np.repeat(np.cumsum(np.where(sets > dense, 0, sets)) - sets, sets)[~big]
+    least = (n - -(-n * percent // 100) + 1) // 3 + 1
+    small = -(-n * percent // 100)
+    fewest = (small - -(-small * percent // 100) + 1) // 3 + 1
+    at = np.argsort(held, kind="stable")
+    ends = np.searchsorted(held[at], np.arange(len(n) + 1))
+    label, up = np.arange(len(n)), list(range(len(n)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for k in np.flatnonzero(np.diff(ends) >= fewest).tolist():
+        mine = at[ends[k] : ends[k + 1]]
+        some = mine[mine > start[mine]]
+        if len(some) < fewest[k]:
+            continue
+        met, shared = np.unique(np.concatenate([held[x:y] for x, y in zip(start[some].tolist(), some.tolist(), strict=True)]), return_counts=True)
+        near = met[(shared >= least[met]) & (100 * n[met] >= percent * n[k])]
+        for x in {top(x) for x in np.unique(label[near]).tolist()}:
+            up[x] = k
+        label[k] = k
+    root = np.array([top(k) for k in range(len(n))])
+    lowest = np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, root, own)
+    some = own != lowest[root]
+    return np.append(a, own[some]), np.append(b, lowest[root][some])
+
+
+def near_groups(met: DataFrame, groups: DataFrame, percent: int, listed: int = LISTED) -> DataFrame:
+    """``node, component``: the sets of ``met`` (``run, d1, size``) that have one beside them which shares enough runs, grouped by such pairs.
+
+    ``groups`` are the sets that runs hold together. A group of more than ``listed`` rows is cut by sizes that fit and, if
+    that is not enough, into blocks that meet pairwise.
+    """
+    rows = cut(met.join(groups.withColumnsRenamed({"node": "d1", "component": "grp"}), "d1"), "grouped")
+    counts = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    wide = F.broadcast(counts.where(F.col("n") > listed).select("grp", F.lit(True).alias("wide")))  # at most a row for each ``listed`` rows
+    band = F.floor(F.log("size") / (1.001 * max(np.log(100 / percent), 0.01))).cast("int")
+    banded = rows.join(wide, "grp", "left").withColumn("band", F.explode(F.when(F.col("wide"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))
+    blocks = F.broadcast(banded.where("wide").groupBy("grp", "band").agg(F.ceil(F.count("*") / listed).cast("int").alias("blocks")).where("blocks > 1"))
+    own = F.pmod(F.xxhash64("d1", "size"), F.coalesce("blocks", F.lit(1))).cast("int")
+    met = banded.join(blocks, ["grp", "band"], "left").select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other"))
+    part = F.xxhash64("grp", "band", F.least("own", "other"), F.greatest("own", "other")).alias("part")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // (listed // 2) + 1)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[column(b, c).to_numpy() for c in ("part", "run", "d1", "size")] for b in batches]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in near_edges(*(np.concatenate(x) for x in zip(*held, strict=True)), percent)], names=["a", "b"])
+
+    found = components(map_batches(met.select(part, "run", "d1", "size").repartition(parts, "part"), find, "a long, b long"))
+    drop(rows)
+    return found
+
+
 def linked_edges(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, percent: int, sketch: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of indexes that connect what links among ``sets``; where ``side`` has both values, only pairs across count."""
     return links_among(sets, side, percent, sketch, len(set(side.tolist())) > 1, np.ones(len(sets), np.int64))[0]
@@ -277,10 +357,10 @@ def similar_rows(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
     smallest = F.ceil(n * percent / F.lit(100)).cast("long")
     least = ((smallest - F.ceil(smallest * percent / F.lit(100)) + 1) / 3).cast("long") + 1
     strong = met.groupBy("d1", "size").agg(F.countDistinct("run").alias("m")).where(F.col("m") >= least).select("d1")
-    shared_met, met = met, cut(met.join(strong, "d1", "left_semi").select("run", "d1").distinct(), "strong")
+    shared_met, met = met, cut(met.join(strong, "d1", "left_semi").select("run", "d1", "size").distinct(), "strong")
     drop(shared_met)
     stars = met.groupBy("run").agg(F.min("d1").alias("b"))
-    groups = components(met.join(stars, "run").select(F.col("d1").alias("a"), "b"))
+    groups = near_groups(met, components(met.join(stars, "run").select(F.col("d1").alias("a"), "b")), percent)
     # A class goes by the number of one of its rows, as ids may be null or repeated.
     lowest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("rep")
     classes = base.where("size > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), lowest, F.min("size").alias("size"), F.count("*").alias("rows"))

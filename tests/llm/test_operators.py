@@ -305,6 +305,50 @@ def test_links_equal_brute_force(spark, block):
     assert Counter((r.doc_id, r.n_links) for r in got) == Counter((i, n) for (i, _), n in zip(rows, want, strict=True))
 
 
+def test_chance_tokens_hold_no_group_together(spark, monkeypatch):
+    """Every set shares a token with every other one, none of them enough: nothing is left to verify."""
+    written, cut = {}, ngram_join.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", counted)
+    rows = [(i, " ".join(f"w{min(i, j)}x{max(i, j)}" for j in range(60) if j != i)) for i in range(60)]
+    rows += [(60 + i, rows[i][1] + " more") for i in range(2)]
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=90, block=500).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {i: (i % 60, int(i in (0, 1, 60, 61))) for i in range(62)}
+    assert written["candidates"] == 4
+
+
+@pytest.mark.parametrize("dense", [2, 1000])
+def test_near_edges_connect_every_fitting_pair(dense):
+    r = random.Random(dense)
+    rows = [(part, run, d, size) for d, part, size in ((d, r.randrange(2), r.randrange(1, 30)) for d in range(40)) for run in r.sample(range(25), r.randrange(25))]
+    a, b = ngram_join.near_edges(*(np.array(x, np.int64) for x in zip(*rows, strict=True)), 80, dense)
+    near = {d: {d} for d in range(40)}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        joined = near[x] | near[y]
+        near |= dict.fromkeys(joined, joined)
+    sets = {}
+    for part, run, d, size in rows:
+        sets.setdefault((part, d, size), set()).add(run)
+    for (p, d, n), x in sets.items():
+        for (q, e, m), y in sets.items():
+            if p == q and 100 * n >= 80 * m and n <= m and len(x & y) > ngram_join.extra_size(n, 80):
+                assert e in near[d]
+
+
+def test_groups_in_blocks_are_the_same(spark):
+    r = random.Random(1)
+    rows = [(run, d, 20 + d % 30) for d in range(200) for run in r.sample(range(d // 10 * 8, d // 10 * 8 + 12), 8)]
+    met = spark.createDataFrame(rows, "run long, d1 long, size long")
+    groups = spark.createDataFrame([(d, 0) for d in range(200)], "node long, component long")
+    one, many = ({r.node: r.component for r in ngram_join.near_groups(met, groups, 80, listed).collect()} for listed in (10**6, 50))
+    assert one == many and len(set(one.values())) > 1
+
+
 def test_pipeline_stages_hand_on(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
