@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlake.llm import gif, hnsw, language_id, mixing, ngram_join, packing, queries, suffix_array, token_counts, toxicity, url_filter
+from seqlake.sources import staging
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -349,6 +350,16 @@ def test_groups_in_blocks_are_the_same(spark):
     assert one == many and len(set(one.values())) > 1
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = spark.conf.get(staging.FREED, None)
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(b.isShuffle() for b in (lambda x: [x.apply(i) for i in range(x.size())])(store.getAllBlocks()))
+    kept = held()
+    found = staging.cut(spark.range(1000).groupBy(F.col("id") % 7).count(), "counted")
+    assert held() <= kept and spark.conf.get(staging.FREED, None) == before
+    assert found.count() == 7
+
+
 def test_pipeline_stages_hand_on(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
