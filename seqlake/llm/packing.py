@@ -25,7 +25,7 @@ LENGTH, STEP, GAP = 2048, 8, 1e-3
 #: Steps of the linear program for each class at most; every step leaves a cover that can be used.
 STEPS = 8
 #: Pieces that are ranked together, rows up to which a table is broadcast, and cached words of a worker.
-RANKED, SMALL, CACHED = 50_000, 100_000, 400_000
+RANKED, SMALL, CACHED = 50_000, 100_000, 300_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -53,13 +53,17 @@ class WordIds:
 
         self.whole = Tokenizer.from_str(vocabulary)
         self.model, self.letters = self.whole.model, byte_letters()
-        self.chunks, self.words = Cache(self.chunk, CACHED, 48), Cache(self.word, CACHED, 48)
+        self.chunks = Cache(self.chunk, CACHED, 48)
 
     def chunk(self, chunk: str) -> bytes:
+        """A word of a chunk is a chunk itself, with the same ids: one cache holds both."""
         if not chunk:
             return b""
         if chunk.isprintable() and max(chunk) < "ɐ" and "<|" not in chunk:
-            return b"".join(map(self.words.__getitem__, self.WORDS.findall(chunk.lower())))
+            words = self.WORDS.findall(chunk.lower())
+            if words == [chunk]:
+                return self.word(chunk)
+            return b"".join([self.chunks[w] if max(w) < "ɐ" else self.word(w) for w in words])
         return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:

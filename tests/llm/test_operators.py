@@ -360,6 +360,20 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert found.count() == 7
 
 
+def test_word_ids_are_the_librarys_and_held_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED", 50)
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    ids, whole = packing.WordIds(vocabulary), Tokenizer.from_str(vocabulary)
+    letters = "abIİßéÉ''st.,-12<|>ɐΣ "
+    r = random.Random(2)
+    for text in ["".join(r.choices(letters, k=60)) for _ in range(300)] + ["İ i̇ ̇", "Don't ''s 's t", "Then then, then. THEN"]:
+        assert np.frombuffer(ids.text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert sum(len(c) + len(c.older) for c in vars(ids).values() if isinstance(c, packing.Cache)) <= 2 * 50
+
+
 def test_pipeline_stages_hand_on(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
