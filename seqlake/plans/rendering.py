@@ -29,7 +29,10 @@ ROUND = "(case when ns >= 1000000000 then (ns + 500000) // 1000000 * 1000000 whe
 @query(f"select arrival, (ns // 3600000000000) || ':' || lpad(cast(ns // 60000000000 % 60 as varchar), 2, '0') || ':' || lpad(cast(ns // 1000000000 % 60 as varchar), 2, '0') as elapsed, r as rounded, case when r >= 1000000000 then {PLAIN.format(d=3, x='r / 1e9')} || 's' when r >= 1000000 then {PLAIN.format(d=3, x='r / 1e6')} || 'ms' when r >= 1000 then {PLAIN.format(d=2, x='r / 1e3')} || 'µs' when r = 0 then '0s' else r || 'ns' end as short from (select *, {ROUND} as r from (select arrival, arrival * arrival * arrival % 59999999989 as ns from v))")
 def durations_text(v: DataFrame) -> DataFrame:
     """Durations as a clock, rounded, and short."""
-    ns = F.col("arrival") * F.col("arrival") * F.col("arrival") % 59_999_999_989
+    # Cubes of places from 2,097,152 on are no longs: they are multiplied as decimals, from the remainders.
+    m = F.lit(59_999_999_989).cast("decimal(11,0)")
+    a = (F.col("arrival").cast("decimal(19,0)") % m).cast("decimal(11,0)")
+    ns = ((a * a % m).cast("decimal(11,0)") * a % m).cast("long")
     return v.select("arrival", T.elapsed_text(ns).alias("elapsed"), T.latency_rounded(ns).alias("rounded"), T.short_text(ns).alias("short"))
 
 

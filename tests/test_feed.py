@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions import scalars as X
 from seqlake.operators import arrival, canonical, replay, sequence
-from seqlake.plans import registry
+from seqlake.plans import registry, rendering
 from seqlake.sources.fixture import records
 
 SF = "/root/testdata/sf0.001"
@@ -123,6 +123,17 @@ def exactly(text):
     return format(value, "f") == text and -(2**63) <= units < 2**63 and not (text[0] == "-" and units == 0)
 
 
+PLACES = [0, 1, 99_999, 629_000, 2_097_152, 5_999_999, 500_000_000]
+
+
+def test_durations_of_large_tables(spark):
+    got = {r.arrival: r for r in rendering.durations_text(spark.createDataFrame([(a,) for a in PLACES], "arrival long")).collect()}
+    for a in PLACES:
+        ns = a**3 % 59_999_999_989
+        step = next((s for least, s in ((10**9, 10**6), (10**6, 1000), (1000, 10)) if ns >= least), 1)
+        assert got[a].elapsed == f"0:00:{ns // 10**9:02}" and got[a].rounded == (ns + step // 2) // step * step
+
+
 def test_exact_decimals(spark):
     found = set()
 
