@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlake.functions import bits as B
@@ -14,11 +14,17 @@ from seqlake.plans.registry import metrics, metrics_sql, query, time_sql
 BYTES_SQL = "case " + " ".join(f"when n >= {1024**i} then case when n / {float(1024**i)} < 10 then printf('%.2f', n / {float(1024**i)}) when n / {float(1024**i)} < 100 then printf('%.1f', n / {float(1024**i)}) else printf('%.0f', n / {float(1024**i)}) end || ' {u}'" for i, u in list(enumerate(T.UNITS))[:0:-1]) + " else n || ' B' end"
 
 
+def cubed(a: Column) -> Column:
+    """The cube, exact up to places of 1e12 (a long holds those below 2,097,152)."""
+    a = a.cast("decimal(12,0)")
+    return (a * a * a).cast("decimal(36,0)")
+
+
 @query(f"select arrival, format('{{:,}}', n) as count, {BYTES_SQL} as bytes, case when r <= 0 then '0/s' when r < 10 then printf('%.1f/s', r) else printf('%.0f/s', r) end as rate, case when r >= 1e6 then printf('%.2fM', r / 1e6) when r >= 1e3 then printf('%.1fk', r / 1e3) else printf('%.0f', r) end as quantity, case when f = 0 then '0' else printf('%.1f%%', f * 100) end as share from (select arrival, arrival * arrival * arrival * 37 as n, arrival * 13 + 0.25 as r, (arrival % 65) / 64.0 as f from v)")
 def figures_text(v: DataFrame) -> DataFrame:
     """Counts, bytes, rates, quantities and shares as text."""
     a = F.col("arrival")
-    n, r, f = a * a * a * 37, a * 13 + F.lit(0.25), (a % 65) / F.lit(64.0)
+    n, r, f = cubed(a) * 37, a * 13 + F.lit(0.25), (a % 65) / F.lit(64.0)
     return v.select("arrival", T.count_text(n).alias("count"), T.bytes_text(n).alias("bytes"), T.rate_text(r).alias("rate"), T.quantity_text(r).alias("quantity"), T.percent_text(f).alias("share"))
 
 

@@ -126,6 +126,14 @@ def exactly(text):
 PLACES = [0, 1, 99_999, 629_000, 2_097_152, 5_999_999, 500_000_000]
 
 
+def test_figures_of_large_tables(spark):
+    """Places whose cubes are no longs."""
+    got = {r.arrival: r for r in rendering.figures_text(spark.createDataFrame([(a,) for a in PLACES], "arrival long")).collect()}
+    for a in PLACES:
+        n = a**3 * 37
+        assert got[a]["count"] == f"{n:,}" and (n < 1 << 40 or got[a].bytes == f"{n / 1024**4:.{2 if n < 10 << 40 else 1 if n < 100 << 40 else 0}f} TiB")
+
+
 def test_durations_of_large_tables(spark):
     got = {r.arrival: r for r in rendering.durations_text(spark.createDataFrame([(a,) for a in PLACES], "arrival long")).collect()}
     for a in PLACES:
